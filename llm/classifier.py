@@ -1,0 +1,83 @@
+"""Quality classifier: positive-unlabelled learning with a non-negative unbiased risk.
+
+Trusted positives are rows labelled 1, the unlabelled texts are a sample of web text. The class
+prior is estimated from the training labels. The risk pi R+(1) + max(0, Ru(0) - pi R+(0)) with the
+logistic loss is minimised by gradient steps on a logistic model over text statistics; both samples
+are bounded by ``max_rows`` rows each, in hash order. Scoring is one JVM expression over whole texts.
+
+Defined cases: null text counts as empty and gets a score; repeated rows give repeated rows;
+without labelled positives every score is the prior 0.5; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+MAX_ROWS = 20_000
+
+
+def features(text: Column) -> dict[str, Column]:
+    """Rates of characters and words; none depends on language, source or id."""
+    t = F.coalesce(text, F.lit(""))
+    n = F.greatest(F.length(t), F.lit(1))
+    count = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
+    spaces = count(" ")
+    upper = count("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÈÉÊÇÑÓÍÄÖÜ")
+    lines = F.split(t, "\n")
+    return {
+        "upper": upper / n, "digits": count("0123456789") / n, "marks": count("#$%&*!|@~^<>{}[]\\=") / n,
+        "stops": count(".") / n, "commas": count(",") / n, "bars": count("|") / n, "bangs": count("!") / n,
+        "word": F.least(n / (spaces + 1), F.lit(30.0)) / 30, "size": F.log1p(F.length(t).cast("double")) / 10,
+        "repeats": 1 - F.size(F.array_distinct(lines)) / F.size(lines), "breaks": count("\n") / n,
+        "links": F.regexp_count(t, F.lit("https?://")) / n * 20, "hyphens": count("-_/") / n,
+    }
+
+
+def nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 1500, rate: float = 0.3, decay: float = 1e-5) -> np.ndarray:
+    """Weights (last one the intercept) that minimise the non-negative risk; Adam, full batch."""
+    w, m, v = np.zeros(pos.shape[1] + 1), 0.0, 0.0
+    p, u = np.c_[pos, np.ones(len(pos))], np.c_[unl, np.ones(len(unl))]
+    sig = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    for t in range(1, steps + 1):
+        gp, gu = sig(p @ w), sig(u @ w)
+        negative = -np.log(1 - gu + 1e-12).mean() + prior * np.log(1 - gp + 1e-12).mean()
+        plus = -prior * p.T @ (1 - gp) / len(p)
+        minus = u.T @ gu / len(u) - prior * p.T @ gp / len(p)
+        g = (plus + minus if negative >= 0 else -minus) + decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (1 - t / (steps + 1)) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None:
+    """Fit on rows outside the held-out fifth. Returns names, means, scales, weights."""
+    mine = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
+    feats = features(F.col("text"))
+    known = labels.filter(mine & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    shown = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.filter(mine).join(F.broadcast(shown), "doc_id").select("quality", *[c.alias(k) for k, c in feats.items()]).limit(4 * max_rows).toPandas()
+    pos = rows[rows.quality == 1].drop(columns="quality").to_numpy(float)
+    unl = rows.drop(columns="quality").to_numpy(float)
+    if not len(pos):
+        return None
+    prior = min(max((rows.quality == 1).mean(), 0.05), 0.95)
+    mean, scale = unl.mean(0), unl.std(0) + 1e-6
+    return list(feats), mean, scale, nnpu((pos - mean) / scale, (unl - mean) / scale, prior)
+
+
+def scored(docs: DataFrame, model, name: str = "score") -> DataFrame:
+    if model is None:
+        return docs.withColumn(name, F.lit(0.5))
+    names, mean, scale, w = model
+    feats = features(F.col("text"))
+    z = F.lit(float(w[-1]))
+    for k, m, s, x in zip(names, mean, scale, w):
+        z = z + (feats[k] - float(m)) * float(x / s)
+    return docs.withColumn(name, 1 / (1 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)))))
+
+
+def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    return scored(docs.select("doc_id", "text"), train(docs, labels)).select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

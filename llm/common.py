@@ -1,0 +1,54 @@
+"""Expressions shared by the corpus operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ascii_lower(text: Column) -> Column:
+    """Lower-case A-Z only, so that results don't depend on Unicode tables."""
+    return F.translate(text, UPPER, UPPER.lower())
+
+
+def words(text: Column) -> Column:
+    """Words of a text; null has none."""
+    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+
+
+def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
+    """All leftmost non-overlapping matches as array<struct<start,end,found>>, code points, end exclusive.
+
+    Positions follow from the lengths of the pieces between matches. ``found`` is the given group.
+    """
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
+    pieces = F.split(text, pattern, -1)
+    parts = F.arrays_zip(F.slice(pieces, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
+    empty = F.array().cast("array<struct<start:int,end:int,found:string>>")
+    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        end = begin + F.length(x["whole"])
+        one = F.struct(begin.alias("start"), end.alias("end"), x["part"].alias("found"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(one)).alias("spans"))
+
+    return F.when(F.size(whole) > 0, F.aggregate(parts, start, step)["spans"]).otherwise(empty)
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder the cluster names; a folder of our own only where none is set."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        path = "/tmp/loglens-checkpoints"
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(path)
+    return path

@@ -1,0 +1,82 @@
+"""Benchmark decontamination over a distributed positional inverted index.
+
+A window is ``n`` consecutive item words (a shorter item is one window). Training postings
+(document, position) are made for the benchmark's terms only. Each window starts from the list of
+its rarest term; lists of its other terms, offset-adjusted, are intersected from the next rarest on.
+A posting carries the words around it, so the intersections need no further shuffle and the words
+compared are the words themselves, which makes matches exact.
+
+Defined cases: null and empty texts have no words; repeated rows give repeated rows; items of
+equal words all count; empty tables give n_items 0; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from llm.common import words
+
+#: Windows up to this many are broadcast (under 500 bytes each); above, the joins shuffle.
+MAX_BROADCAST_WINDOWS = 50_000
+
+
+def windows(benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """Distinct windows: win (words), items (ids as strings)."""
+    w = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).filter(F.size("w") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1)))
+    cut = w.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, n))).alias("win"))
+    return cut.groupBy("win").agg(F.collect_set("item_id").alias("items"))
+
+
+def postings(docs: DataFrame, terms: DataFrame, n: int) -> DataFrame:
+    """(term, key, pos, around, lead): postings of the given terms, with up to n - 1 words on each side."""
+    tokens = docs.select("key", "w", F.posexplode("w").alias("pos", "term")).join(terms, "term", "left_semi")
+    lead = F.least("pos", F.lit(n - 1))
+    return tokens.select("term", "key", "pos", F.expr(f"slice(w, pos - least(pos, {n - 1}) + 1, least(pos, {n - 1}) + {n})").alias("around"), lead.alias("lead"))
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(rows: docs' columns, key, n_words; matches: key, pos, len, items)."""
+    rows = docs.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("w", words(F.col("text")))
+    wins = windows(benchmark, n).persist()
+    small = wins.count() <= MAX_BROADCAST_WINDOWS
+    hint = F.broadcast if small else (lambda x: x)
+    vocabulary = wins.select(F.explode("win").alias("term")).distinct()
+    # list lengths, over the whole corpus
+    lengths = rows.select(F.explode("w").alias("term")).join(hint(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    terms = wins.select("win", "items", F.posexplode("win").alias("at", "term")).join(lengths, "term", "left")
+    # a term without postings rules its window out; the other terms in order of their lists' lengths
+    plan = (
+        terms.groupBy("win", "items").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "at", "term"))).alias("by_freq"))
+        .filter(F.col("by_freq")[0]["freq"] > 0)
+        .select(F.col("by_freq")[0]["term"].alias("term"), F.col("by_freq")[0]["at"].alias("at"), "items", F.size("win").alias("len"), F.transform(F.slice("by_freq", 2, n), lambda x: F.struct(x["at"].alias("at"), x["term"].alias("term"))).alias("others"))
+    ).persist()
+    anchors = postings(rows, hint(plan.select("term").distinct()), n)
+    same = F.forall("others", lambda x: F.get("around", F.col("lead") - F.col("at") + x["at"]) == x["term"])
+    fits = (F.col("pos") >= F.col("at"))
+    found = anchors.join(hint(plan), "term").filter(fits & F.coalesce(same, F.lit(False))).select("key", (F.col("pos") - F.col("at")).alias("pos"), "len", "items")
+    return rows, found
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+    """docs' columns with n_words, n_hit, items (ids with occurring windows)."""
+    rows, found = hits(docs, benchmark, n)
+    zero = F.struct(F.lit(0).alias("to"), F.lit(0).cast("long").alias("n"))
+
+    def cover(acc, x):
+        end = F.greatest(acc["to"], x["pos"] + x["len"])
+        return F.struct(end.alias("to"), (acc["n"] + end - F.greatest(acc["to"], x["pos"])).cast("long").alias("n"))
+
+    # a document's places are no more than its words
+    per_doc = found.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("hit_items"))
+    per_doc = per_doc.select("key", F.aggregate("at", zero, cover)["n"].alias("n_hit"), "hit_items")
+    sized = rows.withColumn("n_words", F.size("w").cast("long")).drop("w")
+    return sized.join(per_doc, "key", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "hit_items": F.coalesce("hit_items", F.array().cast("array<string>"))}).drop("key")
+
+
+def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    return decontaminate(docs.select("doc_id", "text"), benchmark).select(
+        "doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )

@@ -1,0 +1,129 @@
+"""Mixing sources to target weights [native].
+
+Texts of a source, in hash order, are packed into blocks of ``block_words`` words. A source's
+target is its share of ``share`` times all words, at most ``ceiling`` times its size. Its slots go
+to output shards by hash, which makes a shard's source counts a multinomial draw given the
+targets. Slot k takes block perm(k mod blocks), perm a keyed affine permutation of the block
+indices; the last slot is cut so that the words taken equal the target, rounded down.
+
+Defined cases: null or empty text has size 0 and takes 0; a null source is a source, the last;
+repeated rows are rows of their own; an empty table gives an empty table; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+NON_SPACE = r"[^\x20\x09-\x0D]+"
+WEIGHTS = (3, 1, 2)
+
+
+def targets(sizes: DataFrame, share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
+    """(source, source_size) -> with weight and target. One row per source, so the windows are small.
+
+    With the sources in order of size per weight, the capped ones come first; the first source
+    whose share of what is left stays under its cap gives the level for all the rest.
+    """
+    rank = Window.orderBy(F.col("source").asc_nulls_last())
+    picks = F.array(*[F.lit(float(w)) for w in WEIGHTS])
+    ranked = sizes.withColumn("weight", F.element_at(picks, (F.pmod(F.row_number().over(rank) - 1, F.lit(len(WEIGHTS))) + 1).cast("int")))
+    full = Window.partitionBy()
+    order = Window.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    level = (share * F.sum("source_size").over(full) - ceiling * F.coalesce(F.sum("source_size").over(before), F.lit(0))) / F.sum("weight").over(after)
+    levels = ranked.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") <= ceiling * F.col("source_size"))
+    first = F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(full.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return (
+        levels.withColumn("fill", first)
+        .withColumn("target", F.when(F.col("fill").isNull(), ceiling * F.col("source_size")).otherwise(F.least(F.col("fill") * F.col("weight"), ceiling * F.col("source_size"))))
+        .select("source", "source_size", "weight", "target")
+    )
+
+
+def place(docs: DataFrame, rows_per_bucket: int = 4096) -> DataFrame:
+    """docs(doc_id, source, text_hash, size) -> with ``begin``, the text's first word in its source's stream.
+
+    Prefix sums in two levels: texts are dealt to buckets by hash, about ``rows_per_bucket`` each,
+    so no task holds a whole source.
+    """
+    n = docs.count()
+    buckets = max(1, -(-n // rows_per_bucket))
+    dealt = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("bucket")), F.lit(buckets)))
+    sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("bucket_size").over(before), F.lit(0)).alias("base"))
+    inner = Window.partitionBy("source", "bucket").orderBy(F.xxhash64("doc_id", "text_hash", F.lit("order")), "doc_id", "text_hash")
+    running = dealt.withColumn("nth", F.row_number().over(inner)).withColumn("inside", F.coalesce(F.sum("size").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    joined = running.join(starts, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
+    return joined.withColumn("begin", F.col("base") + F.col("inside")).drop("s", "b", "base", "inside")
+
+
+def mix(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 17, share: float = 1.5, ceiling: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes of the texts, the sources' plan, and the mix itself: source, shard, slot, block, take."""
+    sized = docs.select(
+        "doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NON_SPACE)).cast("long").alias("size"),
+    )
+    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, ceiling)
+    big = "decimal(38,0)"
+    plan = (
+        goal.withColumn("blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+        .withColumn("goal_words", F.floor("target").cast("long"))
+        .withColumn("rounds", F.when(F.col("source_size") > 0, F.expr("goal_words div source_size")).otherwise(F.lit(0)))
+        .withColumn("rest", F.col("goal_words") - F.col("rounds") * F.col("source_size"))
+        .withColumn("short", F.col("source_size") - (F.col("blocks") - 1) * block_words)
+        # 2**31 - 1 is prime, so it shares a factor with no smaller number of blocks; a larger count takes the next step of the rule
+        .withColumn("step", F.when(F.col("blocks") % 2147483647 != 0, F.lit(2147483647)).otherwise(F.lit(2305843009213693951)))
+        .withColumn("shift", F.pmod(F.xxhash64("source", F.lit(seed)), F.greatest("blocks", F.lit(1))))
+    )
+    perm = lambda k: F.expr(f"cast(pmod(cast(pmod(step, blocks) as {big}) * {k} + shift, cast(blocks as {big})) as long)")
+    span = 1 << 16  # slots are made in runs, so that a hot source's slots come from many tasks
+    total = F.col("rounds") * F.col("blocks") + F.least(F.col("blocks"), F.ceil(F.col("rest") / block_words).cast("long") + 1)
+    runs = plan.filter("source_size > 0 and goal_words > 0").withColumn("slots", total).withColumn("run", F.explode(F.expr(f"sequence(0L, (slots - 1) div {span})")))
+    slots = (
+        runs.repartition(F.col("source"), F.col("run"))
+        .withColumn("slot", F.explode(F.expr(f"sequence(run * {span}, least(slots - 1, run * {span} + {span - 1}))")))
+        .withColumn("k", F.expr("slot % blocks"))
+        .withColumn("block", perm("k"))
+        .withColumn("len", F.when(F.expr("block = blocks - 1"), F.col("short")).otherwise(F.lit(block_words)))
+    )
+    # Words before slot k of the cut round: k full blocks, less what the short block lacks if it came earlier.
+    # The short block's place among the slots is joined in, one row per source.
+    short_at = slots.filter("block = blocks - 1 and slot < blocks").select(F.col("source").alias("s2"), F.col("k").alias("short_k"))
+    slots = (
+        slots.join(short_at, F.col("source").eqNullSafe(F.col("s2")), "left")
+        .withColumn("cut", F.expr("slot >= rounds * blocks"))
+        .withColumn("ahead", F.expr(f"k * {block_words} - if(k > short_k, {block_words} - short, 0)"))
+        .withColumn("take", F.expr("if(cut, least(len, rest - ahead), len)"))
+        .filter("take > 0")
+        .select("source", F.pmod(F.xxhash64("source", "slot", F.lit(seed)), F.lit(shards)).alias("shard"), "slot", "block", "take")
+    )
+    return sized, plan, slots
+
+
+def mixed(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 17, share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
+    """Words taken from each text."""
+    sized, plan, slots = mix(docs, block_words, shards, seed, share, ceiling)
+    rows = place(sized)
+    ends = F.expr(f"if(size > 0, sequence(begin div {block_words}, (begin + size - 1) div {block_words}), array())")
+    pieces = rows.filter("size > 0").select("*", F.explode(ends.cast("array<bigint>")).alias("block"))
+    taken = (
+        slots.groupBy("source", "block").agg(F.collect_list("take").alias("takes"))  # at most ``ceiling`` of them
+        .withColumnRenamed("source", "s").withColumnRenamed("block", "b")
+    )
+    lo, hi = f"greatest(begin, block * {block_words})", f"least(begin + size, block * {block_words} + t)"
+    words = F.expr(f"aggregate(takes, 0L, (acc, t) -> acc + greatest(0L, cast({hi} - {lo} as bigint)))")
+    per_text = (
+        pieces.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
+        .withColumn("words", words)
+        .groupBy("source", "bucket", "nth").agg(F.sum("words").alias("words"))
+        .select(F.col("source").alias("s3"), F.col("bucket").alias("b3"), F.col("nth").alias("n3"), "words")
+    )
+    goal = plan.select(F.col("source").alias("s4"), "source_size", "target")
+    return (
+        rows.join(per_text, F.col("source").eqNullSafe(F.col("s3")) & (F.col("bucket") == F.col("b3")) & (F.col("nth") == F.col("n3")), "left")
+        .join(goal, F.col("source").eqNullSafe(F.col("s4")), "left")
+        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("words", F.lit(0)).cast("long").alias("taken"))
+    )

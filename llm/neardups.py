@@ -1,0 +1,111 @@
+"""N-gram Jaccard join: MinHash banding, verified on full shingle sets.
+
+Shingles are runs of five words (a shorter text is one shingle). ``BANDS`` bands of ``ROWS`` rows
+find a pair of similarity 0.8 with probability 1 - (1 - 0.8**ROWS)**BANDS = 0.99998. Equal word
+sequences are one class representative first, so copies are never paired. Representatives that
+share a band are paired once and verified on their full sets; a bucket of many different near
+copies is still paired in full, as every such pair is a link that counts.
+
+Defined cases: null and wordless texts join nothing and are classes of their own; repeated rows
+fall into one class; an empty table gives an empty one; extra columns are kept aside.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from llm.common import checkpoint_dir, words
+
+BANDS, ROWS, SHINGLE, LIMIT = 36, 6, 5, 0.8
+
+
+def shingle_hashes(w: list[str], n: int = SHINGLE) -> np.ndarray:
+    """Distinct 64-bit hashes of a text's shingles, sorted."""
+    if not len(w):
+        return np.empty(0, np.uint64)
+    grams = {" ".join(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+    return np.sort(np.fromiter((xxhash.xxh64_intdigest(g) for g in grams), np.uint64, len(grams)))
+
+
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240501)
+    return rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """One 64-bit key per band, in bounded memory for texts of any length."""
+    a, b = _mixers()
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 4096):
+        part = hashes[at : at + 4096, None] * a[None, :] + b[None, :]
+        part ^= part >> np.uint64(29)
+        part *= np.uint64(0x9E3779B97F4A7C15)
+        low = np.minimum(low, part.min(axis=0))
+    return [int.from_bytes(xxhash.xxh64_digest(low[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i), "big", signed=True) for i in range(BANDS)]
+
+
+def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        sets = [shingle_hashes(w) for w in f.w]
+        yield pd.DataFrame({"rep": f.rep, "shingles": [s.view(np.int64) for s in sets], "bands": [bands(s) for s in sets]})
+
+
+def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep or null; rep, copies, w). Texts of equal words have one representative, the least doc_id."""
+    keyed = docs.select("doc_id", words(F.col("text")).alias("w"))
+    keyed = keyed.withColumn("same", F.when(F.size("w") > 0, F.sha2(F.array_join("w", " "), 256)))
+    reps = keyed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("w").alias("w"))
+    return keyed.select("doc_id", "same"), reps
+
+
+def links(reps: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """Verified pairs (a, b), a < b, of representatives with similarity of at least ``limit``."""
+    signed = reps.select("rep", "w").mapInPandas(_signatures, "rep long, shingles array<long>, bands array<long>")
+    sets = signed.select("rep", "shingles")
+    keys = signed.select("rep", F.explode("bands").alias("band"))
+    many = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
+    shared = keys.join(many, "band")
+    pairs = shared.alias("x").join(shared.alias("y"), "band").filter("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
+    right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    return pairs.join(left, "a").join(right, "b").filter(common >= limit * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+
+
+def components(edges: DataFrame, spark) -> DataFrame:
+    """node -> least node of its connected component, by label spreading with pointer jumps and cut lineage."""
+    checkpoint_dir(spark)
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
+    label = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")).select(F.col("a").alias("node"), "c").checkpoint()
+    while True:
+        near = both.join(label.select(F.col("node").alias("b"), F.col("c").alias("cb")), "b").groupBy(F.col("a").alias("node")).agg(F.min("cb").alias("cb"))
+        step = label.join(near, "node", "left").select("node", F.col("c").alias("old"), F.least("c", F.coalesce("cb", "c")).alias("c"))
+        jump = step.select(F.col("node").alias("c"), F.col("c").alias("cc"))
+        new = step.join(jump, "c", "left").select("node", "old", F.least("c", F.coalesce("cc", "c")).alias("c")).checkpoint()
+        if new.filter("c <> old").isEmpty():
+            return new.select("node", "c")
+        label = new.select("node", "c")
+
+
+def classes(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """doc_id, class_id (least doc_id of the group), n_links (rows linked to this one)."""
+    spark = docs.sparkSession
+    checkpoint_dir(spark)
+    rows, reps = representatives(docs)
+    reps = reps.checkpoint()
+    edges = links(reps, limit).checkpoint()
+    both = edges.union(edges.select("b", "a"))
+    weight = reps.select(F.col("rep").alias("b"), "copies")
+    degree = both.join(weight, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("linked"))
+    label = components(edges, spark)
+    member = (
+        reps.select("same", "rep", "copies").join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+        .select("same", F.coalesce("c", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"))
+    )
+    return rows.join(member, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

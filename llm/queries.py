@@ -1,0 +1,38 @@
+"""Queries over the driver's tables, one per operator, and their SQL for DuckDB."""
+
+from __future__ import annotations
+
+from llm import classifier, decontamination, licenses, mixing, neardups, search, secrets
+from llm.common import table
+
+
+def op1_top_k(spark, sf_dir):
+    return search.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op2_decontaminate(spark, sf_dir):
+    return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_quality(spark, sf_dir):
+    return classifier.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_licenses(spark, sf_dir):
+    return licenses.report(table(spark, sf_dir, "documents")).drop("found")
+
+
+def op8_near_duplicates(spark, sf_dir):
+    return neardups.classes(table(spark, sf_dir, "documents"))
+
+
+def op9_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_mixing, op4_quality, op5_licenses, op8_near_duplicates, op9_secrets)}
+ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,122 @@
+"""Exact top-k search by inner product over length buckets.
+
+Vectors become integers, so scores are exact. Candidates are dealt to cells in order of length
+(Euclidean norm), queries to cells by hash; each pair of cells is one bounded task. In a task the
+candidates fall into buckets of similar length, longest first. With a query's k-th best score so
+far, a bucket's local cosine threshold is that score over both lengths: above 1 the bucket goes;
+a high threshold prunes by the query's largest coordinates, a low one by length alone. What is
+left is multiplied out. Every bucket has this exact way; nothing is capped.
+
+Defined cases: null vectors and those with null or non-finite components take no part; missing
+components of shorter vectors count as 0; rows of the query's own id are no candidates; repeated
+rows are rows of their own; an empty table gives an empty one; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+CELL, QUERY_CELL, BUCKET = 8192, 1024, 256
+SCHEMA = "query_id long, vec_id long, score long"
+
+
+def quantised(vector: Column, scale: int = 256) -> Column:
+    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+
+
+def usable(vector: Column) -> Column:
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
+    return vector.isNotNull() & ~F.coalesce(bad, F.lit(True))
+
+
+def _matrix(rows: pd.Series, dim: int) -> np.ndarray:
+    out = np.zeros((len(rows), dim))
+    for i, r in enumerate(rows):
+        out[i, : len(r)] = r
+    return out
+
+
+def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Exact: in floats while every partial sum is an integer below 2**53, else in Python's integers."""
+    if not len(a) or not len(b) or np.abs(a).max(initial=0) * np.abs(b).max(initial=0) * a.shape[1] < 2**53:
+        return a @ b.T
+    return a.astype(object) @ b.astype(object).T
+
+
+def cell_top(cands: pd.DataFrame, queries: pd.DataFrame, k: int) -> pd.DataFrame:
+    """Top k of one cell of candidates for one cell of queries."""
+    if not len(cands) or not len(queries):
+        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+    dim = max(1, max(map(len, cands.v)), max(map(len, queries.v)))
+    c, q = _matrix(cands.v, dim), _matrix(queries.v, dim)
+    cid, qid = cands.vec_id.to_numpy(), queries.vec_id.to_numpy()
+    order = np.lexsort((cid, -np.linalg.norm(c, axis=1)))
+    c, cid = c[order], cid[order]
+    clen, qlen = np.linalg.norm(c, axis=1), np.linalg.norm(q, axis=1)
+    unit_c = c / np.maximum(clen, 1e-12)[:, None]
+    unit_q = q / np.maximum(qlen, 1e-12)[:, None]
+    focus = np.abs(q).argmax(axis=1)
+    best: list[list] = [[] for _ in qid]  # (-score, vec_id), at most k
+    for lo in range(0, len(c), BUCKET):
+        hi = min(lo + BUCKET, len(c))
+        floor = np.array([-b[-1][0] if len(b) == k else -np.inf for b in best], dtype=float)
+        product = qlen * clen[lo]
+        local = np.full(len(q), -np.inf)
+        np.divide(floor, product, out=local, where=product > 0)
+        live = np.flatnonzero(~((floor > product * (1 + 1e-9)) & np.isfinite(floor)))
+        if not len(live):
+            continue
+        scores = None
+        for j, i in enumerate(live):
+            t = local[i]
+            if t > 0.5:  # coordinate pruning: |c_f - q_f cos| <= sin sin for the unit vectors
+                f, x = focus[i], unit_q[i, focus[i]]
+                slack = np.sqrt(max(0.0, 1 - t * t) * max(0.0, 1 - x * x)) + 1e-9
+                cos = unit_c[lo:hi, f]
+                # over all cosines from t to 1, c_f is at least x t - slack if x > 0 and at most x t + slack if x < 0
+                keep = lo + np.flatnonzero((cos >= x * t - slack) if x > 0 else (cos <= x * t + slack))
+                if not len(keep):
+                    continue
+                s = _products(q[i : i + 1], c[keep])[0]
+            else:  # length pruning: the bucket is a prefix in order of length
+                end = hi if not np.isfinite(floor[i]) or qlen[i] == 0 else lo + int(np.searchsorted(-clen[lo:hi], -(floor[i] / qlen[i]) * (1 - 1e-9), side="right"))
+                if scores is None:
+                    scores = _products(q[live], c[lo:hi])
+                keep, s = np.arange(lo, max(lo, end)), scores[j][: max(0, end - lo)]
+            other = cid[keep] != qid[i]
+            keep, s = keep[other], s[other]
+            if len(best[i]) == k:
+                enough = s >= -best[i][-1][0]
+                keep, s = keep[enough], s[enough]
+            if len(s):
+                top = np.lexsort((cid[keep], np.array([-int(v) for v in s], dtype=object) if s.dtype == object else -s))[:k]
+                best[i] = sorted(best[i] + [(-int(s[p]), int(cid[keep[p]])) for p in top])[:k]
+    rows = [(int(qid[i]), v, -s) for i, b in enumerate(best) for s, v in b]
+    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+
+
+def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
+    """query_id, rank, vec_id, score for every row whose vec_id is divisible by ``every``."""
+    v = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", quantised(F.col("embedding")).alias("v"))
+    v = v.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
+    n = v.count()
+    cells, qcells = max(1, -(-n // CELL)), max(1, -(-n // (every * QUERY_CELL)))
+    # Cells in order of length: the edges are quantiles of (length, hash), so copies of one vector spread over cells.
+    keyed = v.withColumn("mix", F.pmod(F.xxhash64("vec_id"), F.lit(1 << 20)) / (1 << 20))
+    edges = keyed.select((F.col("length") + F.col("mix")).alias("at")).approxQuantile("at", [i / cells for i in range(1, cells)], 0.001) if cells > 1 else []
+    cell = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e <= F.col("length") + F.col("mix"))) if edges else F.lit(0)
+    cands = keyed.withColumn("cell", cell).withColumn("qcell", F.explode(F.sequence(F.lit(0), F.lit(qcells - 1)))).select("cell", "qcell", "vec_id", "v")
+    queries = (
+        v.filter(F.col("vec_id") % every == 0)
+        .withColumn("qcell", F.pmod(F.xxhash64("vec_id"), F.lit(qcells)).cast("int"))
+        .withColumn("cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).select("cell", "qcell", "vec_id", "v")
+    )
+    found = (
+        cands.groupBy("cell", "qcell").cogroup(queries.dropDuplicates(["cell", "vec_id"]).groupBy("cell", "qcell"))
+        .applyInPandas(lambda c, q: cell_top(c, q, k), SCHEMA)
+    )
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

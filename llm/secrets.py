@@ -1,0 +1,96 @@
+"""Secret scans [native]: candidates told apart by who owns them, corpus-wide.
+
+Every candidate's value is hashed and aggregated by distinct repositories (``source``) and owners
+(documents, by id). Values seen in more than ``max_repos`` repositories are widely copied examples;
+the others look live. Three base kinds are always reported; the provider formats of ``MORE`` only
+where they look live.
+
+Defined cases: null text is empty and has no spans; a null source is one repository; repeated
+rows (equal doc_id and text) count as one owner and give repeated rows; empty tables give empty
+ones; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from llm.common import regex_spans
+
+#: Fixed values. kind, pattern, group with the value, least characters of it
+BASE = (
+    ("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
+)
+MORE = (
+    ("forge", r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 40),
+    ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
+    ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
+    ("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+)
+
+
+def _found(text: Column, gate: Column, pattern: str, group: int, least: int, kind: str, nth: int) -> Column:
+    spans = F.filter(regex_spans(text, pattern, group), lambda x: F.length(x["found"]) >= least)
+    row = lambda x: F.struct(x["start"].alias("start"), F.lit(nth).alias("nth"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.xxhash64(x["found"]).alias("value"))
+    none = F.array().cast("array<struct<start:int,nth:int,end:int,kind:string,value:bigint>>")
+    return F.when(gate, F.transform(spans, row)).otherwise(none)
+
+
+def candidates(docs: DataFrame) -> DataFrame:
+    """doc_id, source, key (of equal rows), spans ordered by start, then kind."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    each = [_found(text, F.col("text").rlike(p), p, g, n, kind, i) for i, (kind, p, g, n) in enumerate(BASE + MORE)]
+    return docs.select("doc_id", "source", F.xxhash64("doc_id", "text", "source").alias("key"), F.array_sort(F.concat(*each)).alias("spans"))
+
+
+def ownership(found: DataFrame) -> DataFrame:
+    """value -> repos, owners. Distinct pairs are counted in two steps, so a hot value is spread over its owners first."""
+    seen = found.select("doc_id", "source", F.explode("spans").alias("x")).select("doc_id", "source", F.col("x.value").alias("value")).distinct()
+    owners = seen.groupBy("value", "source").agg(F.count(F.lit(1)).alias("owners"))
+    return owners.groupBy("value").agg(F.sum("owners").alias("owners"), F.count(F.lit(1)).alias("repos"))
+
+
+def scan(docs: DataFrame, max_repos: int = 1, max_owners: int = 2) -> DataFrame:
+    """Per row: doc_id, spans (all reported), n_live, n_example."""
+    found = candidates(docs)
+    live = ownership(found).filter((F.col("repos") <= max_repos) & (F.col("owners") <= max_owners)).select("value")
+    # A live value has few owners, so what is joined is small and even on both sides; the rest never meets it.
+    hits = (
+        found.select("key", F.explode(F.array_distinct(F.transform("spans", lambda x: x["value"]))).alias("value"))
+        .join(live, "value", "left_semi")
+        .groupBy("key").agg(F.collect_set("value").alias("live"))
+    )
+    live = F.coalesce("live", F.array().cast("array<bigint>"))
+    kept = F.filter("spans", lambda x: (x["nth"] < len(BASE)) | F.array_contains(live, x["value"]))
+    count = F.size(F.filter("spans", lambda x: F.array_contains(live, x["value"])))
+    return found.join(hits, "key", "left").select("doc_id", "key", kept.alias("spans"), count.cast("long").alias("n_live"), (F.size("spans") - count).cast("long").alias("n_example"))
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents, secrets of the base kinds and live ones replaced by <secret>; no row goes."""
+    scanned = scan(docs).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("found_spans"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
+        mark = F.when(x["start"] >= acc["at"], F.concat(gap, F.lit("<secret>"))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
+
+    done = F.aggregate("found_spans", zero, step)
+    clean = F.when(F.col("found_spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
+    keyed = docs.withColumn("secret_key", F.xxhash64("doc_id", "text", "source"))
+    scanned = scanned.withColumnRenamed("key", "secret_key")
+    return keyed.join(scanned, "secret_key", "left").withColumn("text", clean).select(*docs.columns)
+
+
+def spans_text(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def report(docs: DataFrame) -> DataFrame:
+    base = F.filter("spans", lambda x: x["nth"] < len(BASE))
+    nth = F.transform("spans", lambda x: x["nth"])
+    counts = [(F.size(nth) - F.size(F.array_remove(nth, i))).cast("long").alias(f"n_{kind}") for i, (kind, *_) in enumerate(BASE)]
+    return scan(docs).select("doc_id", *counts, F.sha2(spans_text(base), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"), "n_live", "n_example")
