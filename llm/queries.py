@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from llm import classifier, decontamination, licenses, mixing, neardups, search, secrets
+from llm import classifier, decontamination, licenses, mixing, neardups, pages, personal, repeats, search, secrets
 from llm.common import table
 
 
@@ -26,6 +26,14 @@ def op5_licenses(spark, sf_dir):
     return licenses.report(table(spark, sf_dir, "documents")).drop("found")
 
 
+def op6_personal_data(spark, sf_dir):
+    return personal.report(table(spark, sf_dir, "documents"))
+
+
+def op7_repeats(spark, sf_dir):
+    return repeats.removed(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op8_near_duplicates(spark, sf_dir):
     return neardups.classes(table(spark, sf_dir, "documents"))
 
@@ -34,5 +42,9 @@ def op9_secrets(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_mixing, op4_quality, op5_licenses, op8_near_duplicates, op9_secrets)}
+def op10_main_text(spark, sf_dir):
+    return pages.report(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_mixing, op4_quality, op5_licenses, op6_personal_data, op7_repeats, op8_near_duplicates, op9_secrets, op10_main_text)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,0 +1,156 @@
+"""Removal of 50-byte strings that start in an earlier document.
+
+Sorting rank pairs of every byte position at each doubling would shuffle some hundred bytes per
+input byte, so positions are named by content instead, at about a sixteenth of them: of the
+20-grams in a 50-byte string the least by hash is its anchor, so equal strings have equal anchors.
+Strings of one anchor form a run. 1. Anchors seen in two documents are found by one pre-aggregated
+count. 2. Runs around them are named by a hash of all their bytes; a run that also occurs in an
+earlier document is covered whole. 3. Only where an anchor stands in different runs, the strings
+of each distinct run are compared one by one. Texts equal as a whole are represented by the one of
+the least doc_id. Names are 64-bit hashes.
+
+Defined cases: null text is empty; texts under 50 bytes lose nothing; repeated rows (one doc_id) are
+one document and give repeated rows; a null doc_id loses nothing and takes from no one; an empty
+table gives an empty one; extra columns are ignored.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+LENGTH, GRAM = 50, 20
+STEP = 0x9E3779B97F4A7C15
+STEP_INVERSE = pow(STEP, -1, 1 << 64)
+CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+RUN = "key long, run long, doc_id long, lo int, n int"
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+class _Hashes:
+    """Hashes of any stretches of a text, from prefix sums modulo 2**64."""
+
+    def __init__(self, data: bytes):
+        codes = CODES[np.frombuffer(data, np.uint8)]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes * _powers(STEP, len(codes)), dtype=np.uint64)]) if len(codes) else np.zeros(1, np.uint64)
+        self.back = _powers(STEP_INVERSE, len(codes) + 1)
+
+    def of(self, lo: np.ndarray, length) -> np.ndarray:
+        h = (self.sums[lo + length] - self.sums[lo]) * self.back[lo]
+        h ^= h >> np.uint64(31)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= (h >> np.uint64(29)) + np.asarray(length).astype(np.uint64)
+        return h
+
+
+def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor names, run names, first strings, counts of strings)."""
+    m = len(data) - LENGTH + 1
+    if m < 1:
+        z = np.empty(0, np.int64)
+        return z, z, z, z
+    hashes = _Hashes(data)
+    grams = hashes.of(np.arange(len(data) - GRAM + 1), GRAM)
+    at = np.arange(len(grams), dtype=np.uint64)
+    least = (grams & ~np.uint64((1 << 28) - 1)) | at  # the leftmost of equal ones
+    width, have = LENGTH - GRAM + 1, 1
+    while have * 2 <= width:
+        least = np.minimum(least[:-have], least[have:])
+        have *= 2
+    if have < width:
+        least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
+    anchor = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
+    lo = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+    n = np.diff(np.r_[lo, m])
+    return grams[anchor[lo]].view(np.int64), hashes.of(lo, n + LENGTH - 1).view(np.int64), lo, n
+
+
+def _emit_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for doc, text in zip(f.doc_id, f.text):
+            key, run, lo, n = runs(text.encode())
+            if len(key):
+                yield pd.DataFrame({"key": key, "run": run, "doc_id": doc, "lo": lo.astype("int32"), "n": n.astype("int32")})
+
+
+def _emit_keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        for doc, text in zip(f.doc_id, f.text):
+            key = np.unique(runs(text.encode())[0])
+            if len(key):
+                yield pd.DataFrame({"key": key, "doc_id": doc})
+
+
+def _emit_strings(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Names of the strings of the given runs."""
+    for f in frames:
+        for text, wanted in zip(f.text, f.wanted):
+            hashes = _Hashes(text.encode())
+            for w in wanted:
+                names = hashes.of(np.arange(w["lo"], w["lo"] + w["n"]), LENGTH).view(np.int64)
+                yield pd.DataFrame({"run": w["run"], "nth": np.arange(len(names), dtype="int32"), "string": names, "least": w["least"]})
+
+
+def _cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        out = []
+        for doc, text, whole, found in zip(f.doc_id, f.text, f.whole, f.found):
+            data = text.encode()
+            gone = np.zeros(len(data) + 1, np.int64)
+            if whole and len(data) >= LENGTH:
+                gone[0] += 1
+                gone[len(data)] -= 1
+            elif found is not None:
+                for x in found:
+                    if x["earlier"] is None:
+                        gone[x["lo"]] += 1
+                        gone[x["lo"] + x["n"] - 1 + LENGTH] -= 1
+                    else:
+                        for j in x["earlier"]:
+                            gone[x["lo"] + j] += 1
+                            gone[x["lo"] + j + LENGTH] -= 1
+            hit = np.cumsum(gone)[:-1] > 0
+            spans = int(hit[:1].sum() + (hit[1:] & ~hit[:-1]).sum())
+            kept = np.frombuffer(data, np.uint8)[~hit].tobytes()
+            out.append((doc, len(data), int(hit.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore")))
+        yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
+
+
+def removed(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text left, cut characters dropped)."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.sha2("text", 256))
+    first = rows.filter("doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
+    # joined on both columns, a hot text's rows never meet: only its representative has a partner
+    reps = rows.join(first, (rows["same"] == first["same"]) & (rows["doc_id"] == first["rep"]), "left_semi").dropDuplicates(["doc_id", "same"]).filter(F.octet_length("text") >= LENGTH).select("doc_id", "text")
+    shared = reps.mapInPandas(_emit_keys, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).filter("x < y").select("key")
+    held = reps.mapInPandas(_emit_runs, RUN).join(shared, "key").persist()
+    by_run = held.groupBy("run", "key").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "lo", "n")).alias("at"))
+    mixed = by_run.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("key")
+    wanted = by_run.join(mixed, "key", "left_semi").groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("run", "at.lo", "at.n", "least")).alias("wanted"))
+    strings = reps.join(wanted, "doc_id").select("text", "wanted").mapInPandas(_emit_strings, "run long, nth int, string long, least long").persist()
+    names = strings.groupBy("string").agg(F.min("least").alias("first"), F.max("least").alias("last")).filter("first < last").select("string", "first")
+    by_string = strings.join(names, "string").groupBy("run").agg(F.collect_list(F.struct("nth", "first")).alias("strings"))
+    marks = (
+        held.join(by_run.select("run", "least"), "run").join(by_string, "run", "left")
+        .withColumn("earlier", F.when(F.col("least") < F.col("doc_id"), F.lit(None)).otherwise(F.transform(F.filter(F.coalesce("strings", F.array().cast("array<struct<nth:int,first:bigint>>")), lambda s: s["first"] < F.col("doc_id")), lambda s: s["nth"])))
+        .filter("earlier is null or size(earlier) > 0")
+        .groupBy("doc_id").agg(F.collect_list(F.struct("lo", "n", "earlier")).alias("found")).withColumnRenamed("doc_id", "d")
+    )
+    marks = marks.join(reps.select(F.col("doc_id").alias("d"), F.sha2("text", 256).alias("s")), "d")
+    copies = F.col("rep").isNotNull() & (F.col("doc_id") > F.col("rep"))
+    flagged = rows.join(first.withColumnRenamed("same", "s0"), F.col("same") == F.col("s0"), "left").withColumn("whole", F.coalesce(copies, F.lit(False)))
+    return (
+        flagged.join(marks, (F.col("doc_id") == F.col("d")) & (F.col("same") == F.col("s")), "left")
+        .select("doc_id", "text", "whole", "found")
+        .mapInPandas(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    )
