@@ -48,7 +48,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a folder of our own only where none is set."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "/tmp/loglens-checkpoints"
+        path = "/tmp/quarry-checkpoints"
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import words
+from quarry.llm.common import words
 
 #: Windows up to this many are broadcast (under 500 bytes each); above, the joins shuffle.
 MAX_BROADCAST_WINDOWS = 50_000

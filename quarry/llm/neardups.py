@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import checkpoint_dir, words
+from quarry.llm.common import checkpoint_dir, words
 
 BANDS, ROWS, SHINGLE, LIMIT = 36, 6, 5, 0.8
 
@@ -60,7 +60,7 @@ def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, rep or null; rep, copies, w). Texts of equal words have one representative, the least doc_id."""
     keyed = docs.select("doc_id", words(F.col("text")).alias("w"))
     keyed = keyed.withColumn("same", F.when(F.size("w") > 0, F.sha2(F.array_join("w", " "), 256)))
-    reps = keyed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("w").alias("w"))
+    reps = keyed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("w").alias("w")).filter("rep is not null")
     return keyed.select("doc_id", "same"), reps
 
 
@@ -109,3 +109,10 @@ def classes(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
         .select("same", F.coalesce("c", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"))
     )
     return rows.join(member, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, one of each group; rows without a doc_id all stay."""
+    stay = classes(docs).filter("class_id = doc_id").select("doc_id").distinct()
+    once = docs.filter("doc_id is not null").join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(docs.filter("doc_id is null")).select(*docs.columns)

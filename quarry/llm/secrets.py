@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import regex_spans
+from quarry.llm.common import regex_spans
 
 #: Fixed values. kind, pattern, group with the value, least characters of it
 BASE = (
@@ -82,7 +82,10 @@ def redact(docs: DataFrame) -> DataFrame:
     clean = F.when(F.col("found_spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
     keyed = docs.withColumn("secret_key", F.xxhash64("doc_id", "text", "source"))
     scanned = scanned.withColumnRenamed("key", "secret_key")
-    return keyed.join(scanned, "secret_key", "left").withColumn("text", clean).select(*docs.columns)
+    out = keyed.join(scanned, "secret_key", "left").withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("found_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return out.select(*docs.columns)
 
 
 def spans_text(spans: Column) -> Column:
