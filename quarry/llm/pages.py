@@ -118,10 +118,15 @@ def labelled_pages(n: int = 200, seed: int = 3) -> list[tuple[list[int], list[st
     return out
 
 
+def _speaks(tag: str, words: tuple) -> int:
+    """Whether a node's own tag or words tell of its label; the coupling to its parent is estimated apart for these."""
+    return int(tag in AWAY_TAGS or tag in HERE_TAGS or bool(words))
+
+
 @lru_cache(1)
 def model() -> tuple[dict, dict, np.ndarray]:
     """Log-odds of tags and words for content, and log parent-child potentials, from the labelled pages."""
-    tags, words, pairs = Counter(), Counter(), np.ones((2, 2))
+    tags, words, pairs = Counter(), Counter(), np.ones((2, 2, 2))
     for parent, tag, ws, label in labelled_pages():
         for i in range(1, len(tag)):
             alone = label[i] != label[parent[i]] or label[i]  # what inherits its label says little of itself
@@ -129,10 +134,10 @@ def model() -> tuple[dict, dict, np.ndarray]:
                 tags[tag[i], label[i]] += 1
                 for w in set(ws[i]):
                     words[w, label[i]] += 1
-            pairs[label[parent[i]], label[i]] += 1
+            pairs[_speaks(tag[i], ws[i]), label[parent[i]], label[i]] += 1
     odds = lambda c, s: {k: float(np.log((c[k, 1] + s) / (c[k, 0] + s))) for k in {k for k, _ in c}}
-    pair = np.log(pairs / pairs.sum(axis=1, keepdims=True))
-    pair[0, 1] = min(pair[0, 1], -6.0)  # content inside boilerplate never occurs in the labelled pages
+    pair = np.log(pairs / pairs.sum(axis=2, keepdims=True))
+    pair[:, 0, 1] = -6.0  # content inside boilerplate never occurs in the labelled pages
     return {k: v for k, v in odds(tags, 0.5).items() if k in AWAY_TAGS or k in HERE_TAGS}, odds(words, 0.5), pair
 
 
@@ -146,9 +151,10 @@ def marginals(tree: Tree) -> np.ndarray:
         if tree.tag[i] in NEVER:
             unary[i, 1] = -50.0
     unary[0, 1] += 1.0
+    pairs = [pair[_speaks(t, w)] for t, w in zip(tree.tag, tree.words)]
     up, message = unary.copy(), np.zeros((n, 2))
     for i in range(n - 1, 0, -1):
-        message[i] = np.logaddexp(pair[:, 0] + up[i, 0], pair[:, 1] + up[i, 1])
+        message[i] = np.logaddexp(pairs[i][:, 0] + up[i, 0], pairs[i][:, 1] + up[i, 1])
         message[i] -= message[i].max()
         # siblings speak for a parent only weakly: its boilerplate children don't make an article boilerplate
         message[i] *= 0.02
@@ -156,7 +162,7 @@ def marginals(tree: Tree) -> np.ndarray:
     belief = up.copy()
     for i in range(1, n):
         rest = belief[tree.parent[i]] - message[i]
-        belief[i] = up[i] + np.logaddexp(pair[0] + rest[0], pair[1] + rest[1])
+        belief[i] = up[i] + np.logaddexp(pairs[i][0] + rest[0], pairs[i][1] + rest[1])
         belief[i] -= belief[i].max()
     return 1 / (1 + np.exp(np.clip(belief[:, 0] - belief[:, 1], -700, 700)))
 
