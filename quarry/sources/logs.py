@@ -36,7 +36,7 @@ def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> D
         raise UnreadableLog(f"{path}: binary")
     reader = spark.read.option("encoding", encoding).option("lineSep", "\n") if encoding else spark.read
     # with an encoding, Spark splits lines by it but leaves the bytes as they are
-    raw = F.regexp_replace(F.decode(F.col("value").cast("binary"), F.lit(encoding)), "^\ufeff|\r$", "") if encoding else F.col("value")
+    raw = F.regexp_replace(F.decode(F.col("value").cast("binary"), encoding), "^\ufeff|\r$", "") if encoding else F.col("value")
     rows = reader.text(path).select(raw.alias("raw"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("seq"))
     return number_lines(rows.withColumn("source", basename(F.col("path"))))
 
