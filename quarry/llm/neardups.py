@@ -12,6 +12,7 @@ fall into one class; an empty table gives an empty one; extra columns are kept a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint_dir, words
+from quarry.llm.common import UPPER, checkpoint_dir
 
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+LOWER = str.maketrans(UPPER, UPPER.lower())
 BANDS, ROWS, SHINGLE, LIMIT = 36, 6, 5, 0.8
 
 
@@ -50,28 +53,42 @@ def bands(hashes: np.ndarray) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(low[i * ROWS : (i + 1) * ROWS].tobytes(), seed=i), "big", signed=True) for i in range(BANDS)]
 
 
+def split_words(text: str) -> list[str]:
+    return WORD.findall(text.translate(LOWER))
+
+
 def _signatures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        sets = [shingle_hashes(w) for w in f.w]
-        yield pd.DataFrame({"rep": f.rep, "shingles": [s.view(np.int64) for s in sets], "bands": [bands(s) for s in sets]})
+        yield pd.DataFrame({"rep": f.doc_id, "bands": [bands(shingle_hashes(split_words(t))) for t in f.text]})
+
+
+def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for f in frames:
+        yield pd.DataFrame({"rep": f.doc_id, "shingles": [shingle_hashes(split_words(t)).view(np.int64) for t in f.text]})
+
+
+@F.pandas_udf("string")
+def _word_digest(text: pd.Series) -> pd.Series:
+    """Name of a text's word sequence; null without words."""
+    lists = (split_words(t) for t in text)
+    return pd.Series([xxhash.xxh128_hexdigest(" ".join(w)) if w else None for w in lists])
 
 
 def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, rep or null; rep, copies, w). Texts of equal words have one representative, the least doc_id."""
-    keyed = docs.select("doc_id", words(F.col("text")).alias("w"))
-    keyed = keyed.withColumn("same", F.when(F.size("w") > 0, F.sha2(F.array_join("w", " "), 256)))
-    reps = keyed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("w").alias("w")).filter("rep is not null")
-    return keyed.select("doc_id", "same"), reps
-
-
-def links(reps: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """Verified pairs (a, b), a < b, of representatives with similarity of at least ``limit``."""
-    signed = reps.select("rep", "w").mapInPandas(_signatures, "rep long, shingles array<long>, bands array<long>")
-    sets = signed.select("rep", "shingles")
-    keys = signed.select("rep", F.explode("bands").alias("band"))
+    """(doc_id, text, same; same, rep, copies). Texts of equal words have one representative, the least doc_id."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("same", _word_digest("text"))
+    reps = keyed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("rep is not null")
+    return keyed, reps
+
+
+def links(texts: DataFrame, limit: float = LIMIT) -> DataFrame:
+    """Verified pairs (a, b), a < b, of texts(doc_id, text) with similarity of at least ``limit``."""
+    keys = texts.mapInPandas(_signatures, "rep long, bands array<long>").select("rep", F.explode("bands").alias("band")).checkpoint()
     many = keys.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band")
     shared = keys.join(many, "band")
-    pairs = shared.alias("x").join(shared.alias("y"), "band").filter("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+    pairs = shared.alias("x").join(shared.alias("y"), "band").filter("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct().checkpoint()
+    met = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "doc_id")
+    sets = texts.join(met, "doc_id", "left_semi").mapInPandas(_sets, "rep long, shingles array<long>")
     left = sets.select(F.col("rep").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("rep").alias("b"), F.col("shingles").alias("sb"))
     common = F.size(F.array_intersect("sa", "sb"))
@@ -99,7 +116,9 @@ def classes(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
     checkpoint_dir(spark)
     rows, reps = representatives(docs)
     reps = reps.checkpoint()
-    edges = links(reps, limit).checkpoint()
+    # joined on both columns, so a hot text's copies never meet
+    texts = rows.join(reps.select("same", F.col("rep").alias("doc_id")), ["same", "doc_id"], "left_semi").select("doc_id", "text").dropDuplicates(["doc_id", "text"])
+    edges = links(texts, limit).checkpoint()
     both = edges.union(edges.select("b", "a"))
     weight = reps.select(F.col("rep").alias("b"), "copies")
     degree = both.join(weight, "b").groupBy(F.col("a").alias("rep")).agg(F.sum("copies").alias("linked"))
@@ -108,7 +127,7 @@ def classes(docs: DataFrame, limit: float = LIMIT) -> DataFrame:
         reps.select("same", "rep", "copies").join(degree, "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")
         .select("same", F.coalesce("c", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).cast("long").alias("n_links"))
     )
-    return rows.join(member, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return rows.select("doc_id", "same").join(member, "same", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
