@@ -67,7 +67,6 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"rep": f.doc_id, "shingles": [shingle_hashes(split_words(t)).view(np.int64) for t in f.text]})
 
 
-@F.pandas_udf("string")
 def _word_digest(text: pd.Series) -> pd.Series:
     """Name of a text's word sequence; null without words."""
     lists = (split_words(t) for t in text)
@@ -76,7 +75,7 @@ def _word_digest(text: pd.Series) -> pd.Series:
 
 def representatives(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text, same; same, rep, copies). Texts of equal words have one representative, the least doc_id."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("same", _word_digest("text"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("same", F.pandas_udf(_word_digest, "string")("text"))
     reps = keyed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).filter("rep is not null")
     return keyed, reps
 
