@@ -27,7 +27,7 @@ def number_lines(lines: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Lines of text or gzip files, by path, list or glob. A split is one input block of one file."""
     probe = spark.read.format("binaryFile").load(path).select("path", "length", F.substring("content", 1, 8192).alias("head")).limit(1).collect() if not path.endswith(".gz") else []
-    if probe and probe[0]["length"] == 0:
+    if not path.endswith(".gz") and (not probe or probe[0]["length"] == 0):
         raise UnreadableLog(f"{path}: empty")
     head = bytes(probe[0]["head"]) if probe else b""
     if head[:2] in (b"\xff\xfe", b"\xfe\xff"):
