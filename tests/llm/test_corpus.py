@@ -88,6 +88,19 @@ def test_near_duplicates(docs, rows):
     assert as_sets(neardups.keep_one(docs), "doc_id") == sorted({(c,) for _, c, _ in want})
 
 
+def test_near_duplicates_over_many_cells(spark, monkeypatch):
+    monkeypatch.setattr(neardups, "CELL", 300)
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + ["x", f"y{k % 7}"][: k % 3] + base[k:]) for k in range(0, 60, 2)]
+    table = spark.createDataFrame([(i, t, None) for i, t in enumerate(texts + texts[:3])], "doc_id long, text string, cells string")
+    sets = [{tuple(w[j : j + 5]) for j in range(len(w) - 4)} for w in (t.split() for t in texts + texts[:3])]
+    near = [[i != j and len(a & b) >= 0.8 * len(a | b) for j, b in enumerate(sets)] for i, a in enumerate(sets)]
+    group = list(range(len(sets)))
+    for _ in sets:
+        group = [min([g] + [group[j] for j, x in enumerate(near[i]) if x]) for i, g in enumerate(group)]
+    assert as_sets(neardups.classes(table), "doc_id", "class_id", "n_links") == sorted((i, group[i], sum(near[i])) for i in range(len(sets)))
+
+
 def test_licenses(docs, rows):
     want = []
     for doc, text, _ in rows:
