@@ -23,17 +23,28 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
+#: A whole key block. The value is what follows the header up to END or, where a key is cut off, to the end of its base64 lines.
+PRIVATE = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----("
+    r"[^-]*+(?:-(?!----)[^-]*+){0,99}+(?=-----END [A-Z ]*PRIVATE KEY-----)"
+    r"|(?:(?:\s|\\[nr])*+(?:Proc-Type|DEK-Info):[^\r\n\\]*+){0,9}+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{24,}+){0,2000}+"
+    r"(?:(?<=[A-Za-z0-9+/=]{24})(?:\s|\\[nr])++[A-Za-z0-9+/]{1,23}+={0,2}+(?=[\x20\t\"']*+(?:\r|\n|\\[nr]|$)))?+"
+    r")(?:-----END [A-Z ]*PRIVATE KEY-----)?+"
+)
 MORE = (
     ("forge", r"gh[opsu]_[A-Za-z0-9]{36,}", 0, 40),
     ("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}", 0, 15),
     ("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 28),
-    ("private", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27),
+    ("private", PRIVATE, 1, 0),
 )
+#: Line ends within a key, as they are or escaped in a string; copies of one key differ in them.
+LINE_ENDS = r"\\[nrt]|\s+"
 
 
 def _found(text: Column, gate: Column, pattern: str, group: int, least: int, kind: str, nth: int) -> Column:
     spans = F.filter(regex_spans(text, pattern, group), lambda x: F.length(x["found"]) >= least)
-    row = lambda x: F.struct(x["start"].alias("start"), F.lit(nth).alias("nth"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.xxhash64(x["found"]).alias("value"))
+    value = lambda x: F.regexp_replace(x["found"], LINE_ENDS, "") if kind == "private" else x["found"]
+    row = lambda x: F.struct(x["start"].alias("start"), F.lit(nth).alias("nth"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.xxhash64(value(x)).alias("value"))
     none = F.array().cast("array<struct<start:int,nth:int,end:int,kind:string,value:bigint>>")
     return F.when(gate, F.transform(spans, row)).otherwise(none)
 

@@ -133,6 +133,29 @@ def test_secrets(docs, rows):
     assert secrets.redact(docs).count() == len(rows)
 
 
+def test_private_keys(spark):
+    """Different keys of one type are different values, and the whole block goes."""
+    import base64
+
+    body = lambda i, n: base64.b64encode(hashlib.shake_256(str(i).encode()).digest(n)).decode()
+    lines = lambda b, end="\n": end.join(b[k : k + 64] for k in range(0, len(b), 64))
+    bodies = [body(i, 608) for i in range(6)]
+    head, tail = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"before {head}\n{lines(b)}\n{tail} after" for b in bodies[:3]]
+    texts.append(f"before {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{lines(bodies[3])}\n{tail} after")
+    texts.append(f"before {head}\n{lines(bodies[4])}\n\nafter this")
+    texts.append(f'{{"key": "{head}\\n{lines(bodies[5], chr(92) + "n")}\\n{tail}\\n"}} after')
+    # one key that is copied all over, in two layouts
+    shared = body(9, 608)
+    texts += [f"copy {i} {head}\n{lines(shared, chr(13) + chr(10) if i % 2 else chr(10))}\n{tail}" for i in range(4)]
+    table = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    live = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("private")] for r in secrets.report(table).collect()}
+    assert [len(live[i]) for i in range(len(texts))] == [1] * 6 + [0] * 4
+    clean = {r.doc_id: r.text for r in secrets.redact(table).collect()}
+    assert [clean[i] for i in range(4)] == ["before <secret> after"] * 4
+    assert clean[4].split() == ["before", "<secret>", "after", "this"] and clean[5] == '{"key": "<secret>\\n"} after'
+
+
 def test_personal(docs, rows):
     email, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
     for _, text, _ in rows:
