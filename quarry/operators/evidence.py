@@ -180,10 +180,24 @@ def redact(lines: DataFrame, least: int = 20) -> DataFrame:
     return clean.join(unknown, ["source", "line_no"], "left").withColumn("redacted", F.regexp_replace(hide, r"\d", "9")).drop("clean", "rare")
 
 
-def health(lines: DataFrame, first: int = 20_000) -> DataFrame:
-    """Parse rates over the first non-blank lines, without content."""
-    seen = lines.filter(F.trim("raw") != "").orderBy("line_no").limit(first)
-    return seen.agg(F.count(F.lit(1)).alias("lines"), (100.0 * F.count_if(parse.time_text(F.col("raw"))["text"].isNotNull()) / F.count(F.lit(1))).alias("ts_pct"), (100.0 * F.count_if(parse.text_level(F.col("raw")).isNotNull()) / F.count(F.lit(1))).alias("level_pct"))
+def health(lines: DataFrame, k: int = 6) -> DataFrame:
+    """Parse rates and commonest levels over all non-blank lines, without content. ``levels``: at most ``k`` of (level, n), those seen first ahead of equals."""
+    seen = lines.filter(F.trim("raw") != "").select("line_no", parse.time_text(F.col("raw"))["text"].isNotNull().alias("dated"), parse.text_level(F.col("raw")).alias("level"))
+    by_level = seen.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_if("dated").alias("dated"), F.min("line_no").alias("first"))  # a handful of rows
+    entry = F.when(F.col("level").isNotNull(), F.struct((-F.col("n")).alias("less"), "first", "level", "n"))
+    top = F.transform(F.slice(F.array_sort(F.collect_list(entry)), 1, k), lambda x: F.struct(x["level"].alias("level"), x["n"].alias("n")))
+    total = F.coalesce(F.sum("n"), F.lit(0))
+    leveled = F.coalesce(F.sum(F.when(F.col("level").isNotNull(), F.col("n"))), F.lit(0))
+    rate = lambda x: F.when(total > 0, 100.0 * x / total)
+    return by_level.agg(total.alias("lines"), rate(F.sum("dated")).alias("ts_pct"), rate(leveled).alias("level_pct"), top.alias("levels"))
+
+
+def health_report(lines: DataFrame, first: int = 20_000, k: int = 5) -> DataFrame:
+    """One row: format, health over every line, and the shapes of the first non-blank lines."""
+    head = lines.filter(F.trim("raw") != "").orderBy("line_no").limit(first)
+    top = shapes(head, k).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "shape", "n"))).alias("s"))
+    top = top.select(F.transform("s", lambda x: F.struct(x["shape"].alias("shape"), x["n"].alias("n"))).alias("shapes"))
+    return health(lines).select(F.lit(sniff(lines)).alias("format"), "*").join(F.broadcast(top), F.lit(True))
 
 
 def shapes(lines: DataFrame, k: int = 5) -> DataFrame:

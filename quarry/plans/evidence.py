@@ -125,7 +125,7 @@ def vocabulary(spark, sf_dir):
 
 
 def health(spark, sf_dir):
-    return E.health(lines(spark, sf_dir))
+    return E.health(lines(spark, sf_dir)).select("lines", "ts_pct", "level_pct")
 
 
 def redacted(spark, sf_dir):

@@ -125,6 +125,20 @@ def test_redact(spark):
     assert got == "known word here user <w> at <url> <email> <ip> id=9"
 
 
+def test_health_sees_every_line(spark):
+    """A file whose format breaks after the 20,000 lines that the shapes are taken of."""
+    good, bad = "concat('2026-01-01 00:00:01 INFO x ', id)", "if(id % 2 = 0, 'ERROR lost its time', 'no time')"
+    rows = spark.range(1, 50_001).selectExpr("'s' as source", "id as line_no", f"case when id % 100 = 0 then ' ' when id <= 25000 then {good} else {bad} end as raw")
+    got = E.health(rows).first()
+    n, dated, errors = 49_500, 24_750, 12_250
+    assert (got.lines, got.ts_pct, got.level_pct) == (n, 100 * dated / n, 100 * (dated + errors) / n)
+    assert [tuple(x) for x in got.levels] == [("INFO", dated), ("ERROR", errors)]
+    full = E.health_report(rows).first()
+    assert full.format == "text" and full.lines == n and [tuple(x) for x in full.shapes] == [("9-9-9 9:9:9 A A 9", 20_000)]
+    none = E.health(rows.limit(0)).first()
+    assert none.lines == 0 and none.levels == []
+
+
 def test_stream(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.log").write_text("2026-01-01 00:00:01 ERROR x\n2026-01-01 00:00:02 INFO y\n  at z\n")
