@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,8 +125,15 @@ def shape(line: Column) -> Column:
 
 def placeholders(line: Column) -> Column:
     for p, mark in P.REDACTIONS:
-        line = F.regexp_replace(line, p, mark)
-    return line
+        line = F.regexp_replace(line, P.WIDE + p, mark)
+    segments = lambda m: F.regexp_replace(F.regexp_replace(m, "/$", ""), "/[^/]+", "/<seg>")
+    return F.regexp_replace(rewritten(line, P.WIDE + P.PATH, segments), P.QUOTED, '"<text>"')
+
+
+def rewritten(line: Column, pattern: str, one: Callable[[Column], Column], between: Callable[[Column], Column] = lambda x: x) -> Column:
+    """The line with ``one`` of each match and ``between`` of the stretches between them."""
+    parts = F.arrays_zip(F.split(line, pattern, -1).alias("gap"), F.regexp_extract_all(line, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.array_join(F.transform(parts, lambda x: F.concat(between(x["gap"]), F.coalesce(one(x["found"]), F.lit("")))), "")
 
 
 def epoch_ns_iso(ns: Column) -> Column:

@@ -47,4 +47,11 @@ REDACTIONS = (
     (r"(?i)\b[a-z]+://[^\s\"']+", "<url>"), (r"[\w.+-]+@[\w-]+\.[\w.-]+", "<email>"), (UUID, "<uuid>"), (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ip>"),
     (r"(?i)\b(?:[0-9a-f]{1,4}:){2,}[0-9a-f]{1,4}\b", "<ip6>"), (r"(?i)\b[0-9a-f]{16,}\b", "<hex>"), (r"\b[A-Za-z0-9+/]{24,}={0,2}\b", "<b64>"),
 )
+PATH = r"(?:/[\w.\-@+]+){2,}/?"
+QUOTED = r"\"[^\"]{3,}\"|'[^']{3,}'"
+PLACEHOLDER = r"<(?:url|email|uuid|ip6?|hex|b64|seg|text)>"
+#: A leading time that redaction keeps: it carries order, not secrets.
+TIME_HEAD = r"^\[?[\d\-/:T. +]{8,32}\]?"
+#: Classes as wide as Python's, of all scripts.
+WIDE = "(?U)"
 DENSITY_BUCKETS, CONTEXT, TREND_POINTS, NEW_AFTER = 44, 15, 12, 0.03

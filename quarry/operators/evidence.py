@@ -172,12 +172,18 @@ def vocabulary(lines: DataFrame, least: int = 20) -> DataFrame:
 
 
 def redact(lines: DataFrame, least: int = 20) -> DataFrame:
-    """Structure-preserving redaction: raw becomes redacted; rare words are found by an anti join, not a driver-side set."""
-    clean = lines.withColumn("clean", parse.placeholders(F.col("raw")))
-    w = clean.select("source", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("clean", F.lit(r"(?<![<A-Za-z0-9_.\-])" + P.WORD), F.lit(0)))).alias("w")).withColumn("word", F.lower("w"))
-    unknown = w.join(vocabulary(lines, least), "word", "left_anti").groupBy("source", "line_no").agg(F.array_sort(F.collect_set("w")).alias("rare"))
-    hide = F.aggregate(F.array_sort(F.coalesce("rare", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a)), F.col("clean"), lambda acc, x: F.replace(acc, x, F.lit("<w>")))
-    return clean.join(unknown, ["source", "line_no"], "left").withColumn("redacted", F.regexp_replace(hide, r"\d", "9")).drop("clean", "rare")
+    """Structure-preserving redaction: raw becomes redacted; a leading time stays; rare words are found by an anti join, not a driver-side set."""
+    head = F.regexp_extract("raw", P.WIDE + P.TIME_HEAD, 0)
+    clean = lines.withColumn("head", head).withColumn("clean", parse.placeholders(F.substring("raw", F.length("head") + 1, F.length("raw"))))
+    piece = P.PLACEHOLDER + "|" + P.WORD  # placeholders first, so that no word is looked for in them
+    found = F.filter(F.regexp_extract_all("clean", F.lit(piece), F.lit(0)), lambda x: ~x.startswith("<"))
+    w = clean.select("source", "line_no", F.explode(F.array_distinct(found)).alias("w")).withColumn("word", F.lower("w"))
+    unknown = w.join(vocabulary(lines, least), "word", "left_anti").groupBy("source", "line_no").agg(F.collect_set("w").alias("rare"))
+    digits = lambda x: F.regexp_replace(x, P.WIDE + r"\d", "9")
+    rare = F.coalesce("rare", F.array().cast("array<string>"))
+    shown = lambda x: F.when(x.startswith("<"), x).when(F.array_contains(rare, x), F.lit("<w>")).otherwise(digits(x))
+    safe = parse.rewritten(F.col("clean"), piece, shown, digits)
+    return clean.join(unknown, ["source", "line_no"], "left").withColumn("redacted", F.concat("head", safe)).drop("head", "clean", "rare")
 
 
 def health(lines: DataFrame, k: int = 6) -> DataFrame:

@@ -3,13 +3,15 @@
 import datetime as dt
 import glob
 import gzip
+import re
+from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from quarry.functions import parse
+from quarry.functions import parse, patterns
 from quarry.operators import evidence as E
 from quarry.operators import mining
 from quarry.plans import evidence, pack
@@ -125,6 +127,37 @@ def test_redact(spark):
     assert got == "known word here user <w> at <url> <email> <ip> id=9"
 
 
+def redact_line(line, vocab):
+    """The rules in their order; placeholders stay whole."""
+    head = m.group() if (m := re.match(r"\[?[\d\-/:T. +]{8,32}\]?", line)) else ""
+    line = line[len(head):]
+    for pattern, mark in (
+        (r"(?i)\b[a-z]+://[^\s\"']+", "<url>"), (r"[\w.+-]+@[\w-]+\.[\w.-]+", "<email>"), (r"(?i)\b[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\b", "<uuid>"),
+        (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "<ip>"), (r"(?i)\b(?:[0-9a-f]{1,4}:){2,}[0-9a-f]{1,4}\b", "<ip6>"), (r"(?i)\b[0-9a-f]{16,}\b", "<hex>"), (r"\b[A-Za-z0-9+/]{24,}={0,2}\b", "<b64>"),
+        (r"(/[\w.\-@+]+){2,}/?", lambda m: "/" + "/".join("<seg>" for _ in m.group(0).strip("/").split("/"))), (r"\"([^\"]{3,})\"|'([^']{3,})'", '"<text>"'),
+    ):
+        line = re.sub(pattern, mark, line)
+    out = []
+    for gap, mark, word in re.findall(r"(.*?)(?:(<(?:url|email|uuid|ip6?|hex|b64|seg|text)>)|([A-Za-z][A-Za-z0-9_.\-]{2,})|$)", line):
+        out += [re.sub(r"\d", "9", gap), mark, re.sub(r"\d", "9", word) if word.lower() in vocab else "<w>" if word else ""]
+    return head + "".join(out)
+
+
+def test_redact_line_by_line(spark):
+    odd = [
+        "2026-08-04 12:00:01.5 INFO known 42alice _alice --alice .alice alice9 7", "[2026-08-04T12:00:01] known", "known /home/alice/known.log and /var/known/ or /one, a//b/c",
+        'known said "known known" and \'it was\' "ab" \'\'', "known url email b64 ip6 text <url> <b64> <secret>", "known fe80:0:0:1:a:b at 123e4567-e89b-12d3-a456-426614174000 0123456789abcdef01",
+        "known QWxhZGRpbjpvcGVuIHNlc2FtZQQQ== http://h/p?q=known jos\u00e9@example.org \u0663\u0664 known5 KNOWN", "abc xabcx known", "", "   ", "12345678", "at 'known", "known/known/known x=/a/b/c/",
+    ]
+    raw = odd + ["known info and alright xabcx said or at"] * 25
+    counts = Counter(x.lower() for r in raw for x in re.findall(r"[A-Za-z][A-Za-z0-9_.\-]{2,}", r))
+    vocab = {x for x, n in counts.items() if n >= 20} | set(patterns.KEEP_WORDS)
+    rows = [("s", i, r) for i, r in enumerate(raw)]
+    got = E.redact(spark.createDataFrame(rows, "source string, line_no long, raw string").repartition(3)).orderBy("line_no").collect()
+    assert [r.redacted for r in got] == [redact_line(r, vocab) for r in raw]
+    assert got[0].redacted == "2026-08-04 12:00:01.5 INFO known 99<w> _<w> --<w> .<w> <w> 9"
+
+
 def test_health_sees_every_line(spark):
     """A file whose format breaks after the 20,000 lines that the shapes are taken of."""
     good, bad = "concat('2026-01-01 00:00:01 INFO x ', id)", "if(id % 2 = 0, 'ERROR lost its time', 'no time')"
