@@ -12,7 +12,7 @@ equal words all count; empty tables give n_items 0; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.common import words
@@ -59,6 +59,37 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> tuple[DataFrame,
     return rows, found
 
 
+def proximity(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 1, missing: int = 1) -> DataFrame:
+    """docs' columns with n_near_items, near_items (ids with windows that occur exactly or nearly).
+
+    A window occurs nearly where, from some start on, all its words but ``missing`` stand at their
+    offset or up to ``slop`` words later; windows of fewer than ``n`` words need all. So a word put
+    in, left out or exchanged in a window is allowed for. One of the ``missing`` + 1 rarest words
+    of a window is there in any match, so postings of those are enough.
+    """
+    rows = docs.withColumn("key", F.xxhash64("doc_id", "text")).withColumn("w", words(F.col("text")))
+    wins = windows(benchmark, n).withColumn("need", F.when(F.size("win") < n, F.size("win")).otherwise(F.greatest(F.size("win") - missing, F.lit(1)))).persist()
+    hint = F.broadcast if wins.count() <= MAX_BROADCAST_WINDOWS else (lambda x: x)
+    vocabulary = wins.select(F.explode("win").alias("term")).distinct()
+    lengths = rows.select(F.explode("w").alias("term")).join(hint(vocabulary), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("freq"))
+    terms = wins.select("win", "items", "need", F.posexplode("win").alias("at", "term")).join(lengths, "term", "left")
+    by_freq = F.array_sort(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "at", "term")))
+    rarest = F.filter(F.slice("by_freq", 1, F.size("win") - F.col("need") + 1), lambda x: x["freq"] > 0)
+    plan = terms.groupBy("win", "items", "need").agg(by_freq.alias("by_freq")).select("win", "items", "need", F.explode(rarest).alias("x")).select("win", "items", "need", F.col("x.term").alias("term"), F.col("x.at").alias("at")).persist()
+    anchors = postings(rows, hint(plan.select("term").distinct()), n + slop)
+    shifts = F.array(*[F.lit(i) for i in range(slop + 1)])
+
+    def stands(back: Column) -> Column:
+        at = lambda j, s: F.get("around", F.col("lead") - F.col("at") - back + j + s)
+        there = F.transform("win", lambda x, j: F.exists(shifts, lambda s: F.coalesce(at(j, s) == x, F.lit(False))))
+        return F.size(F.filter(there, lambda x: x)) >= F.col("need")
+
+    found = anchors.join(hint(plan), "term").filter(F.exists(shifts, stands)).select("key", "items")
+    per_doc = found.groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("near_items"))
+    out = rows.drop("w").join(per_doc, "key", "left").withColumn("near_items", F.coalesce("near_items", F.array().cast("array<string>"))).drop("key")
+    return out.withColumn("n_near_items", F.size("near_items").cast("long"))
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """docs' columns with n_words, n_hit, items (ids with occurring windows)."""
     rows, found = hits(docs, benchmark, n)

@@ -231,6 +231,28 @@ def test_decontamination(spark, docs, rows):
     assert as_sets(decontamination.report(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want)
 
 
+def test_proximity(spark):
+    rng = np.random.default_rng(3)
+    common = [f"c{i}" for i in range(12)]
+    item = [f"i{i}" if i % 3 else common[i % 12] for i in range(40)]
+    changed = lambda f: " ".join(x for i, w in enumerate(item) for x in f(i, w))
+    texts = [" ".join(item), changed(lambda i, w: [w, "new"] if i % 9 == 4 else [w]), changed(lambda i, w: [] if i % 9 == 4 else [w]), changed(lambda i, w: ["new"] if i % 9 == 4 else [w])]
+    texts += [changed(lambda i, w: [w, "new"] if i % 2 else [w]), " ".join(item[::-1]), None, "", "short item", "short x item", "short x y item"]
+    texts += [" ".join(rng.choice(common[:3], 60)) for _ in range(40)]
+    items = [(1, " ".join(item)), (2, "short item"), (3, " ".join(rng.choice(common[:3], 12))), (4, None)]
+    wins = {(tuple(w[i : i + 10]), str(k)) for k, t in items for w in [words(t or "")] for i in range(max(1, len(w) - 9)) if w}
+
+    def near(w, win):
+        need = len(win) - (len(win) >= 10)
+        return any(sum(any(0 <= o + j + s < len(w) and w[o + j + s] == x for s in (0, 1)) for j, x in enumerate(win)) >= need for o in range(-len(win), len(w)))
+
+    want = [(i, sorted({k for win, k in wins if near(words(t or ""), win)})) for i, t in enumerate(texts)]
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert as_sets(decontamination.proximity(docs, bench), "doc_id", "near_items") == want
+    assert [want[i][1] for i in range(6)] == [["1"]] * 4 + [[], []] and want[9][1] == ["2"] and any("3" in k for _, k in want)
+    assert as_sets(decontamination.report(docs, bench).filter("contaminated and doc_id < 8"), "doc_id") == [(0,)]
+
+
 def test_search(spark):
     rng = np.random.default_rng(0)
     vectors = [(i, [float(x) for x in rng.normal(0, 1 + i % 7, 8)]) for i in range(300)]
