@@ -12,9 +12,10 @@ repeated rows are rows of their own; an empty table gives an empty table; extra
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SPACE = r"[\x20\x09-\x0D]+"
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 
@@ -63,7 +64,7 @@ def place(docs: DataFrame, rows_per_bucket: int = 4096) -> DataFrame:
 def mix(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 17, share: float = 1.5, ceiling: float = 2.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sizes of the texts, the sources' plan, and the mix itself: source, shard, slot, block, take."""
     sized = docs.select(
-        "doc_id", "source", F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        "doc_id", "source", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(NON_SPACE)).cast("long").alias("size"),
     )
     goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), share, ceiling)
@@ -103,22 +104,56 @@ def mix(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 17
     return sized, plan, slots
 
 
+def packed(rows: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+    """source, shard, slot, block, take, pieces: of each slot, the stretches of texts that fill it, in order.
+
+    ``rows`` are those of ``place`` with their text. Words are sliced into blocks before the texts are
+    dealt out, and blocks and slots meet in one
+    grouping by (source, block), so the text moves twice: to its place and to its block.
+    """
+    tokens = F.array_remove(F.split("text", SPACE, -1), "")
+    first, last = F.expr(f"begin div {block_words}"), F.expr(f"(begin + size - 1) div {block_words}")
+
+    def piece(w: Column, block: Column) -> Column:
+        lo = F.greatest(block * block_words - F.col("begin"), F.lit(0)).cast("int")
+        hi = F.least((block + 1) * block_words - F.col("begin"), F.col("size")).cast("int")
+        at = (F.col("begin") + lo - block * block_words).cast("int")
+        return F.struct(block.alias("block"), at.alias("at"), (hi - lo).alias("n"), F.array_join(F.slice(w, lo + 1, hi - lo), " ").alias("text"))
+
+    # the array of one element names the tokens, which are then split once a text
+    cut = F.flatten(F.transform(F.array(tokens), lambda w: F.transform(F.sequence(first, last), lambda b: piece(w, b))))
+    pieces = rows.filter("size > 0").select("source", "bucket", "nth", F.explode(cut).alias("x")).select("source", "bucket", "nth", "x.*")
+    none = lambda kind: F.lit(None).cast(kind)
+    part, to = "struct<at:int,bucket:bigint,nth:int,n:int,text:string>", "struct<shard:bigint,slot:bigint,take:bigint>"
+    both = pieces.select("source", "block", F.struct("at", "bucket", "nth", "n", "text").cast(part).alias("part"), none(to).alias("to")).unionAll(
+        slots.select("source", "block", none(part).alias("part"), F.struct("shard", "slot", "take").cast(to).alias("to"))
+    )
+    # a block has at most ``block_words`` pieces and, but for one, ``ceiling`` slots
+    met = both.groupBy("source", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.collect_list("to").alias("to"))
+    full = met.select("source", "block", "parts", F.explode("to").alias("to")).select("source", "block", "parts", "to.*")
+
+    def kept(x: Column) -> Column:
+        rest = F.col("take") - x["at"]
+        text = F.when(x["n"] > rest, F.array_join(F.slice(F.split(x["text"], " ", -1), 1, rest.cast("int")), " ")).otherwise(x["text"])
+        return F.struct(x["at"].alias("at"), x["bucket"].alias("bucket"), x["nth"].alias("nth"), text.alias("text"))
+
+    cut_off = F.transform(F.filter("parts", lambda x: x["at"] < F.col("take")), kept)
+    return full.select("source", "shard", "slot", "block", "take", cut_off.alias("pieces"))
+
+
+def blocks(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 17, share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
+    """The mix itself: source, shard, slot, block, and text, the block's words with one blank between them."""
+    sized, _, slots = mix(docs, block_words, shards, seed, share, ceiling)
+    return packed(place(sized), slots, block_words).select("source", "shard", "slot", "block", F.array_join("pieces.text", " ").alias("text"))
+
+
 def mixed(docs: DataFrame, block_words: int = 64, shards: int = 64, seed: int = 17, share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
-    """Words taken from each text."""
+    """Words taken from each text, counted in the blocks."""
     sized, plan, slots = mix(docs, block_words, shards, seed, share, ceiling)
     rows = place(sized)
-    ends = F.expr(f"if(size > 0, sequence(begin div {block_words}, (begin + size - 1) div {block_words}), array())")
-    pieces = rows.filter("size > 0").select("*", F.explode(ends.cast("array<bigint>")).alias("block"))
-    taken = (
-        slots.groupBy("source", "block").agg(F.collect_list("take").alias("takes"))  # at most ``ceiling`` of them
-        .withColumnRenamed("source", "s").withColumnRenamed("block", "b")
-    )
-    lo, hi = f"greatest(begin, block * {block_words})", f"least(begin + size, block * {block_words} + t)"
-    words = F.expr(f"aggregate(takes, 0L, (acc, t) -> acc + greatest(0L, cast({hi} - {lo} as bigint)))")
     per_text = (
-        pieces.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-        .withColumn("words", words)
-        .groupBy("source", "bucket", "nth").agg(F.sum("words").alias("words"))
+        packed(rows, slots, block_words).select("source", F.explode("pieces").alias("x"))
+        .groupBy("source", "x.bucket", "x.nth").agg(F.sum(F.size(F.split("x.text", " ", -1))).alias("words"))
         .select(F.col("source").alias("s3"), F.col("bucket").alias("b3"), F.col("nth").alias("n3"), "words")
     )
     goal = plan.select(F.col("source").alias("s4"), "source_size", "target")

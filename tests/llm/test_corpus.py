@@ -3,7 +3,7 @@
 import hashlib
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -199,6 +199,38 @@ def test_mixing(docs, rows):
     assert all(abs(taken[s] - goal[s]) < 1.01 for s in order)
 
 
+def test_mixed_blocks(docs, rows):
+    """The blocks hold the words of their source's texts, in stretches, and ``taken`` counts them."""
+    space = re.compile(r"[^\x20\x09-\x0D]+")
+    got = mixing.blocks(docs).collect()
+    texts, slots = defaultdict(list), defaultdict(dict)
+    for _, text, source in rows:
+        texts[source].append(space.findall(text))
+    for r in got:
+        assert r.slot not in slots[r.source] and 0 <= r.shard < 64
+        slots[r.source][r.slot] = (r.block, r.text.split(" "))
+    assert len({r.shard for r in got}) > 30
+    taken = defaultdict(int)
+    for r in mixing.mixed(docs).collect():
+        taken[r.source] += r.taken
+    whole = 0
+    for source, all_texts in texts.items():
+        n_blocks, last = -(-sum(map(len, all_texts)) // 64), max(slots[source], default=-1)
+        assert sorted(slots[source]) == list(range(last + 1)) and sum(len(w) for _, w in slots[source].values()) == taken[source]
+        by_block = {}
+        for slot in range(last + 1):
+            block, w = slots[source][slot]
+            assert len(w) <= 64 and (slot == last or block == n_blocks - 1 or len(w) == 64)
+            assert by_block.setdefault(block, w)[: len(w)] == w
+        if last >= n_blocks:  # each block is there, so their stream is the texts, one after the other
+            whole += 1
+            stream, left = [x for b in range(n_blocks) for x in by_block[b]], Counter(map(tuple, all_texts))
+            assert Counter(stream) == Counter(x for t in all_texts for x in t)
+            joined = " " + " ".join(stream) + " "
+            assert all(" " + " ".join(t) + " " in joined for t in left if t)
+    assert whole
+
+
 def test_quality(spark, docs, rows):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = {r.doc_id: r for r in classifier.report(docs, labels).collect()}
