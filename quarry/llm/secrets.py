@@ -1,12 +1,12 @@
 """Secret scans [native]: candidates told apart by who owns them, corpus-wide.
 
-Every candidate's value is hashed and aggregated by distinct repositories (``source``) and owners
-(documents, by id). Values seen in more than ``max_repos`` repositories are widely copied examples;
+Every candidate's value is hashed and aggregated by distinct owners (groups of near copies of a
+text, whatever their ids) and repositories (the least ``source`` of each owner). Values seen in more than ``max_repos`` repositories are widely copied examples;
 the others look live. Three base kinds are always reported; the provider formats of ``MORE`` only
 where they look live.
 
 Defined cases: null text is empty and has no spans; a null source is one repository; repeated
-rows (equal doc_id and text) count as one owner and give repeated rows; empty tables give empty
+rows and copies of a text count as one owner and give repeated rows; empty tables give empty
 ones; extra columns are ignored.
 """
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import regex_spans
+from quarry.llm.common import regex_spans, words
 
 #: Fixed values. kind, pattern, group with the value, least characters of it
 BASE = (
@@ -41,6 +41,10 @@ MORE = (
 LINE_ENDS = r"\\[nrt]|\s+"
 
 
+#: Texts with four fifths of their shingles in common share one of so many bands but for one pair in a thousand.
+BANDS = 8
+
+
 def _found(text: Column, gate: Column, pattern: str, group: int, least: int, kind: str, nth: int) -> Column:
     spans = F.filter(regex_spans(text, pattern, group), lambda x: F.length(x["found"]) >= least)
     value = lambda x: F.regexp_replace(x["found"], LINE_ENDS, "") if kind == "private" else x["found"]
@@ -49,18 +53,37 @@ def _found(text: Column, gate: Column, pattern: str, group: int, least: int, kin
     return F.when(gate, F.transform(spans, row)).otherwise(none)
 
 
+def _bands(text: Column) -> Column:
+    """Hashes that near copies share: of pairs of minima over the shingles of five words."""
+    def of(w: Column) -> Column:
+        shingles = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 4, F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, 5)))
+        least = lambda h, k: F.array_min(F.transform(h, lambda x: F.xxhash64(x, F.lit(k))))
+        return F.transform(F.array(shingles), lambda h: F.array(*[F.xxhash64(F.lit(k), least(h, 2 * k), least(h, 2 * k + 1)) for k in range(BANDS)]))
+
+    return F.flatten(F.flatten(F.transform(F.array(words(text)), of)))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (of equal rows), spans ordered by start, then kind."""
+    """doc_id, source, key (of equal rows), copy (of equal texts), bands of texts with spans, spans ordered by start, then kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
     each = [_found(text, F.col("text").rlike(p), p, g, n, kind, i) for i, (kind, p, g, n) in enumerate(BASE + MORE)]
-    return docs.select("doc_id", "source", F.xxhash64("doc_id", "text", "source").alias("key"), F.array_sort(F.concat(*each)).alias("spans"))
+    out = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", "source").alias("key"), F.xxhash64("text").alias("copy"), F.array_sort(F.concat(*each)).alias("spans"))
+    return out.withColumn("bands", F.when(F.size("spans") > 0, _bands(F.col("text")))).drop("text")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """value -> repos, owners. Distinct pairs are counted in two steps, so a hot value is spread over its owners first."""
-    seen = found.select("doc_id", "source", F.explode("spans").alias("x")).select("doc_id", "source", F.col("x.value").alias("value")).distinct()
-    owners = seen.groupBy("value", "source").agg(F.count(F.lit(1)).alias("owners"))
-    return owners.groupBy("value").agg(F.sum("owners").alias("owners"), F.count(F.lit(1)).alias("repos"))
+    """value -> repos, owners. An owner is a group of near copies, found by two rounds of the least name over shared bands; its repository is the least."""
+    seen = found.filter(F.size("spans") > 0).select("copy", "source", "bands", F.explode(F.array_distinct(F.transform("spans", lambda x: x["value"]))).alias("value"))
+    texts = seen.groupBy("value", "copy").agg(F.min("source").alias("source"), F.first("bands").alias("bands"))
+    links = texts.select("value", "copy", "source", F.explode("bands").alias("band"), F.col("copy").alias("owner"))
+    for _ in range(2):
+        least = links.groupBy(F.col("value").alias("v"), F.col("band").alias("b")).agg(F.min("owner").alias("least"))
+        near = links.join(least, (F.col("value") == F.col("v")) & (F.col("band") == F.col("b")))
+        named = near.groupBy("value", "copy").agg(F.min("least").alias("owner"), F.first("source").alias("source"), F.collect_set("band").alias("bands"))
+        links = named.select("value", "copy", "source", "owner", F.explode("bands").alias("band"))
+    owners = named.groupBy("value", "owner").agg(F.min("source").alias("source"))
+    repos = owners.groupBy("value", "source").agg(F.count(F.lit(1)).alias("owners"))
+    return repos.groupBy("value").agg(F.sum("owners").alias("owners"), F.count(F.lit(1)).alias("repos"))
 
 
 def scan(docs: DataFrame, max_repos: int = 1, max_owners: int = 2) -> DataFrame:

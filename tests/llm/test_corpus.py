@@ -145,9 +145,9 @@ def test_private_keys(spark):
     texts.append(f"before {head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B\n\n{lines(bodies[3])}\n{tail} after")
     texts.append(f"before {head}\n{lines(bodies[4])}\n\nafter this")
     texts.append(f'{{"key": "{head}\\n{lines(bodies[5], chr(92) + "n")}\\n{tail}\\n"}} after')
-    # one key that is copied all over, in two layouts
+    # one key that different documents hold, in two layouts
     shared = body(9, 608)
-    texts += [f"copy {i} {head}\n{lines(shared, chr(13) + chr(10) if i % 2 else chr(10))}\n{tail}" for i in range(4)]
+    texts += [f"{' '.join(f'd{i}w{k}' for k in range(300))} {head}\n{lines(shared, chr(13) + chr(10) if i % 2 else chr(10))}\n{tail}" for i in range(4)]
     table = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     live = {r.doc_id: [x for x in r.spans.split(",") if x.startswith("private")] for r in secrets.report(table).collect()}
     assert [len(live[i]) for i in range(len(texts))] == [1] * 6 + [0] * 4
@@ -156,6 +156,21 @@ def test_private_keys(spark):
     assert clean[4].split() == ["before", "<secret>", "after", "this"] and clean[5] == '{"key": "<secret>\\n"} after'
 
 
+def test_copies_are_one_owner(spark):
+    """A token in copies of one document, over any sources, looks live; one in different documents doesn't."""
+    rng = np.random.default_rng(5)
+    prose = lambda: [f"w{i}" for i in rng.integers(0, 5000, 200)]
+    token = lambda i: "ghp_" + hashlib.sha256(str(i).encode()).hexdigest()[:40].upper()
+    base = prose()
+    near = [" ".join(base[: 7 * i] + ["other"] + base[7 * i + 1 :]) + f" {token(0)}" for i in range(25)]
+    same = [" ".join(prose()) + f" {token(1)}"] * 5
+    apart = [" ".join(prose()) + f" {token(2)}" for _ in range(4)]
+    texts = near + same + apart
+    table = spark.createDataFrame([(i, t, f"s{i % 4}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: "forge" in r.spans for r in secrets.report(table).collect()}
+    assert [got[i] for i in range(len(texts))] == [True] * 30 + [False] * 4
+
+
 def test_personal(docs, rows):
     email, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
     for _, text, _ in rows:
