@@ -31,7 +31,7 @@ def op6_personal_data(spark, sf_dir):
 
 
 def op7_repeats(spark, sf_dir):
-    return repeats.removed(table(spark, sf_dir, "documents")).drop("kept")
+    return repeats.removed(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
 def op8_near_duplicates(spark, sf_dir):

@@ -42,30 +42,63 @@ def words(text):
     return WORD.findall(text.translate(LOWER))
 
 
+def as_sets_any(frame, *cols):
+    return [tuple(r[c] for c in cols) for r in frame.collect()]
+
+
 def as_sets(frame, *cols):
     return sorted(tuple(r[c] for c in cols) for r in frame.collect())
 
 
-def test_repeats(docs, rows):
-    first = {}
-    for doc, text, _ in rows:
-        b = text.encode()
-        for i in range(len(b) - 49):
+def without_repeats(rows):
+    """Brute force: (doc_id, n_bytes, n_removed, n_spans, kept_sha256) of (doc_id, text) rows."""
+    first, want = {}, []
+    for doc, text in rows:
+        b = (text or "").encode()
+        for i in range(len(b) - 49) if doc is not None else ():
             first[b[i : i + 50]] = min(doc, first.get(b[i : i + 50], doc))
-    want = []
-    for doc, text, _ in rows:
-        b = text.encode()
+    for doc, text in rows:
+        b = (text or "").encode()
         gone = np.zeros(len(b), bool)
-        for i in range(len(b) - 49):
+        for i in range(len(b) - 49) if doc is not None else ():
             if first[b[i : i + 50]] < doc:
                 gone[i : i + 50] = True
         kept = bytes(x for x, g in zip(b, gone) if not g)
         spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
         want.append((doc, len(b), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
-    assert as_sets(repeats.removed(docs), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want)
+    return sorted(want, key=str)
+
+
+REPEATS = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def test_repeats(docs, rows):
+    want = without_repeats([(doc, text) for doc, text, _ in rows])
+    assert sorted(as_sets(repeats.removed(docs), *REPEATS), key=str) == want
     assert sum(w[2] for w in want)
 
 
+@pytest.mark.parametrize(("rounds", "chunk_bytes"), [((32, 50), 700), ((16, 32, 50), 5000), ((50,), 1 << 22)])
+def test_repeats_over_chunks(spark, rounds, chunk_bytes):
+    """Ids with several texts, null ids beside large ones, whole copies, passages that overlap, over many chunks."""
+    rng = np.random.default_rng(11)
+    word = [f"{'w' * int(k % 5)}{k}\u00e9" for k in range(300)]
+    prose = lambda n: " ".join(rng.choice(word, n))
+    passages = [prose(n) for n in (9, 12, 30, 60)]
+    made = []
+    for i in range(160):
+        parts = [prose(rng.integers(0, 40)), passages[rng.integers(4)] if rng.random() < 0.5 else "", prose(rng.integers(0, 20))]
+        made.append((int(rng.integers(0, 60)), " ".join(parts)))  # most ids have several texts
+    big = 2**53
+    made += [(big + 1, passages[2] + "x"), (None, passages[2] + "x"), (None, None), (big, passages[3]), (big + 1, passages[2] + "x"), (7, None), (8, ""), (-5, passages[1] * 2), (-5, passages[1] + "!" + passages[1])]
+    made += [(900 + i, "ab" * 100) for i in range(3)] + [(900, "ab" * 100), (999, "ab" * 90 + "c")]
+    table = spark.createDataFrame([(d, t, 1) for d, t in made], "doc_id long, text string, chunk int").repartition(3)
+    got = repeats.removed(table, rounds=rounds, chunk_bytes=chunk_bytes)
+    assert sorted(as_sets_any(got, *REPEATS), key=str) == without_repeats(made)
+    kept = {r.doc_id: r.kept for r in got.collect()}
+    assert kept[903 if 903 in kept else 902] == "" and kept[999].endswith("c")
+
+
 def test_near_duplicates(docs, rows):
     sets = {}
     for i, (doc, text, _) in enumerate(rows):
