@@ -42,25 +42,44 @@ OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 stri
 REPLY = "chunk long, sub int, round int, bucket long, data binary"
 
 
-def names(data: np.ndarray, length: int, lane: int = 0) -> np.ndarray:
-    """Rank of the ``length`` bytes at every position: packed bytes up to 8, then names of pairs of ranks."""
+def packed(data: np.ndarray) -> np.ndarray:
+    """Rank of the 8 bytes at every position: the bytes themselves."""
     rank = data.astype(np.uint64)
     for have in (1, 2, 4):
         rank = (rank[:-have] << np.uint64(8 * have)) | rank[have:]
-    have = 8
+    return rank
+
+
+def pair(first: np.ndarray, second: np.ndarray, lane: int) -> np.ndarray:
+    """Names of pairs of ranks."""
+    one = first * np.uint64(0x9E3779B97F4A7C15 + 2 * lane)
+    one ^= one >> np.uint64(29 + lane)
+    one += second
+    one *= np.uint64(0xBF58476D1CE4E5B9 + 4 * lane)
+    one ^= one >> np.uint64(32)
+    one *= np.uint64(0x94D049BB133111EB)
+    one ^= one >> np.uint64(31)
+    return one
+
+
+def doubled(rank: np.ndarray, have: int, length: int, lane: int = 0) -> np.ndarray:
+    """Rank of ``length`` bytes at every position, from that of ``have``."""
     while have < length:
         step = min(have, length - have)
-        one = rank[:-step] * np.uint64(0x9E3779B97F4A7C15 + 2 * lane)
-        one ^= one >> np.uint64(29 + lane)
-        one += rank[step:]
-        one *= np.uint64(0xBF58476D1CE4E5B9 + 4 * lane)
-        one ^= one >> np.uint64(32)
-        one *= np.uint64(0x94D049BB133111EB)
-        one ^= one >> np.uint64(31)
-        rank, have = one, have + step
+        rank, have = pair(rank[:-step], rank[step:], lane), have + step
     return rank
 
 
+def doubled_at(rank: np.ndarray, have: int, length: int, at: np.ndarray, lane: int = 0) -> np.ndarray:
+    """The same at some positions only."""
+    if length == have:
+        return rank[at]
+    half = have
+    while 2 * half < length:
+        half *= 2
+    return pair(doubled_at(rank, have, half, at, lane), doubled_at(rank, have, half, at + (length - half), lane), lane)
+
+
 def least(rank: np.ndarray, width: int) -> np.ndarray:
     """Least of every ``width`` neighbours, by doubling."""
     have = 1
@@ -104,13 +123,16 @@ def unpack(data: bytes, base: int, low_bytes: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _sorted_groups(values: np.ndarray, low: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(stable order by value, where in it each distinct value begins)."""
-    order = np.argsort(values, kind="stable") if low is None else np.lexsort((low, values))
+    """(order by value, where in it each distinct value begins)."""
+    order = np.argsort(values)
     v = values[order]
     new = v[1:] != v[:-1]
     if low is not None:
         lo = low[order]
-        new |= lo[1:] != lo[:-1]
+        if (~new & (lo[1:] != lo[:-1])).any():  # hardly ever: one first name, two second names
+            order = np.lexsort((low, values))
+            v, lo = values[order], low[order]
+            new = (v[1:] != v[:-1]) | (lo[1:] != lo[:-1])
     return order, np.flatnonzero(np.r_[True, new]) if len(v) else np.empty(0, np.int64)
 
 
@@ -132,6 +154,8 @@ class Chunk:
         self.alive = np.ones(len(self.data), bool)
         for end in self.ends:
             self.alive[end - LENGTH + 1 : end] = False
+        self.ranks = (8, packed(self.data)) if parts else None
+        self.bytes8 = self.ranks and self.ranks[1]
 
     def round(self, plan: Plan, length: int, reply: dict[int, bytes] | None) -> list[tuple[int, bytes]] | None:
         """Without a reply, the distinct ranks by bucket; with one, drops the positions it shows to be unique."""
@@ -140,16 +164,19 @@ class Chunk:
             return []
         last = length == LENGTH
         bits, split = plan.bits[length], plan.split[length]
-        rank = names(self.data, length)
-        value = (rank if last else least(rank, LENGTH - length + 1) >> np.uint64(64 - bits))[at]
-        doc = self.doc[at]
-        run = None
-        if not last:  # neighbours that ask by one rank ask once
+        have, rank = self.ranks
+        doc, run, low = self.doc[at], None, None
+        if last:
+            value = doubled_at(rank, have, length, at)
+            low = doubled_at(self.bytes8, 8, length, at, 1) >> np.uint64(64 - 8 * plan.low)
+        else:
+            rank = doubled(rank, have, length)
+            self.ranks = (length, rank) if reply is not None else self.ranks
+            value = least(rank, LENGTH - length + 1)[at]
             new = np.r_[True, (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])]
-            run = np.cumsum(new) - 1
-            value, doc = value[new], doc[new]
-        low = names(self.data, length, 1)[at] >> np.uint64(64 - 8 * plan.low) if last else None
-        del rank
+            run = np.cumsum(new) - 1  # neighbours that ask by one rank ask once
+            doc = doc[new]
+            value = pair(value[new], value[new], 2) >> np.uint64(64 - bits)  # least ranks are small; their names are even
         order, firsts = _sorted_groups(value, low)
         distinct = value[order[firsts]]
         buckets = distinct >> np.uint64(bits - split)
@@ -160,13 +187,13 @@ class Chunk:
             return [(int(b), pack(distinct[i:j], int(b) << (bits - split), None if seconds is None else seconds[i:j], plan.low)) for b, i, j in zip(names_of, starts, stops)]
         said = np.concatenate([np.unpackbits(np.frombuffer(reply[int(b)], np.uint8), count=j - i) for b, i, j in zip(names_of, starts, stops)]).astype(bool)
         sizes = np.diff(np.r_[firsts, len(order)])
-        first_doc = doc[order[firsts]]
+        doc = doc[order]
+        first_doc = np.minimum.reduceat(doc, firsts)
         stays = np.empty(len(order), bool)
         if last:
-            stays[order] = np.repeat(said, sizes) | (doc[order] > np.repeat(first_doc, sizes))
+            stays[order] = np.repeat(said, sizes) | (doc > np.repeat(first_doc, sizes))
         else:
-            said |= doc[order[firsts + sizes - 1]] > first_doc
-            stays[order] = np.repeat(said, sizes)
+            stays[order] = np.repeat(said | (np.maximum.reduceat(doc, firsts) > first_doc), sizes)
         self.alive[at] = stays if run is None else stays[run]
         return None
 
@@ -174,8 +201,8 @@ class Chunk:
         """Of each text, its row, its bytes and which of them go."""
         step = np.zeros(len(self.data) + 1, np.int64)
         at = np.flatnonzero(self.alive)
-        np.add.at(step, at, 1)
-        np.subtract.at(step, at + LENGTH, 1)
+        step[at] += 1
+        step[at + LENGTH] -= 1
         hit, nth = np.cumsum(step)[:-1] > 0, 0
         for i, data in enumerate(self.bytes):
             if self.takes[i]:
@@ -262,7 +289,7 @@ def _answers(plan: Plan, length: int):
         bit = np.empty(len(order), bool)
         if last:
             name = blocks.chunk.to_numpy()[who]
-            bit[order] = name[order] > np.repeat(name[order[firsts]], sizes)
+            bit[order] = name[order] > np.repeat(np.minimum.reduceat(name[order], firsts), sizes)
         else:
             bit[order] = np.repeat(sizes > 1, sizes)
         ends = np.cumsum([len(v) for v, _ in parts])
