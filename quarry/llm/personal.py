@@ -3,10 +3,12 @@
 Base spans (email, ip, card, phone) follow fixed patterns and are always reported. Further
 generators propose overlapping spans of looser forms; trees boosted on the logistic loss, trained
 on generated examples, score them by format and context; each kind's threshold is calibrated on
-held-out examples to ``PRECISION``. A proposed span that overlaps a base span is dropped.
+held-out examples to ``PRECISION``. A proposed span that overlaps a base span is dropped; of
+proposed spans that overlap each other the one furthest above its threshold stays.
 
-Defined cases: null text is empty and has no spans; repeated rows give repeated rows; an empty
-table gives an empty one; extra columns are ignored.
+Defined cases: null text is empty and has no spans; repeated rows give repeated rows; equal scores
+go to the span that starts first; an empty table gives an empty one; extra columns are ignored. A
+text is scanned whole, in time in proportion to its length.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "mac", "mail_words", "phone_local")
@@ -89,6 +92,7 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Generated spans in context with their truth."""
     rng = np.random.default_rng(seed)
     digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+    word = lambda: "".join("ka lo mi ter son vel da ru pen ost".split()[i] for i in rng.integers(0, 10, rng.integers(1, 4)))
     x, y = [], []
     for _ in range(n):
         kind, real = MORE[rng.integers(len(MORE))], bool(rng.integers(2))
@@ -101,11 +105,14 @@ def _examples(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         elif kind == "mac":
             s = ":".join(f"{v:02x}" for v in rng.integers(0, 256, 6)) if real else ":".join([f"{rng.integers(0, 2):02x}"] * 6)
         elif kind == "mail_words":
-            s = "ann.lee (at) example (dot) org" if real else "a (at) b (dot) c"
+            at, dot = [("(at)", "(dot)"), ("[at]", "[dot]"), ("( at )", "( dot )")][rng.integers(3)]
+            s = f"{word()}{'.' + word() if real else ''} {at} {word() if real else word()[:1]} {dot} {('com', 'org', 'net', 'edu')[rng.integers(4)] if real else word()[:1]}"
         else:
-            s = f"{digits(3)}-{digits(3)}-{digits(4)}"
-        near = ("call ", "tel ", "contact ", "account ", "mail ")[rng.integers(5)] if real == (rng.random() < 0.95) else ("order ", "version ", "part ", "the ")[rng.integers(4)]
-        text = near + s + " ."
+            s = f"{digits(3)}{'-. '[rng.integers(3)]}{digits(3)}-{digits(4)}"
+        context = real == (rng.random() < 0.9)
+        lead = [("call", "tel", "contact", "account", "mail", "phone", "write to"), ("order", "version", "part", "invoice", "serial", "the", word())][not context]
+        near = f"{word()} {word()} {lead[rng.integers(len(lead))]}{(' ', ': ')[rng.integers(2)]}"
+        text = f"{near}{s} {word()} ."
         x.append(span_features(text, kind, len(near), len(near) + len(s)))
         y.append(real)
     return np.array(x), np.array(y, float)
@@ -165,13 +172,18 @@ def extra_spans(text: str, base: list[tuple[str, int, int]], rate: float = 0.3)
     taken = np.zeros(len(text) + 1, bool)
     for _, a, b in base:
         taken[a:b] = True
-    kept = []
+    judged = []
     for kind, a, b in proposed:
         row = span_features(text, kind, a, b)
-        if not taken[a:b].any() and sum(rate * _value(t, row) for t in trees) >= cuts[kind]:
+        margin = sum(rate * _value(t, row) for t in trees) - cuts[kind]
+        if margin >= 0:
+            judged.append((-margin, a, b, kind))
+    kept = []
+    for _, a, b, kind in sorted(judged):
+        if not taken[a:b].any():
             kept.append((kind, a, b))
             taken[a:b] = True
-    return kept
+    return sorted(kept, key=lambda x: (MORE.index(x[0]), x[1]))
 
 
 def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,8 +195,10 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             base = base_spans(text)
             n = {k: sum(x[0] == k for x in base) for k in BASE}
             out.append((doc, *n.values(), hashlib.sha256(show(base).encode()).hexdigest(), show(base + extra_spans(text, base))))
-        yield pd.DataFrame(out, columns=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"]).astype({"doc_id": "Int64"})
+        yield pd.DataFrame(out, columns=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans"])
 
 
 def report(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text").mapInPandas(_rows, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    # ids travel as strings: beside a null one, pandas would round large ones
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(_rows, "doc_id string, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

@@ -204,19 +204,49 @@ def test_copies_are_one_owner(spark):
     assert [got[i] for i in range(len(texts))] == [True] * 30 + [False] * 4
 
 
-def test_personal(docs, rows):
-    email, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-    for _, text, _ in rows:
-        if len(text) > 50_000:
-            continue
-        got = personal.base_spans(text)
-        assert [s for s in got if s[0] == "email"] == [("email", *m.span()) for m in re.finditer(email, text)]
-        assert [s for s in got if s[0] == "ip"] == [("ip", *m.span()) for m in re.finditer(ip, text) if all(int(x) <= 255 for x in m.group().split("."))]
-    odd = personal.base_spans(ODD[5][1])
-    assert [k for k, *_ in odd] == ["email", "email", "ip", "card", "phone"]
-    out = personal.report(docs).collect()
-    assert len(out) == len(rows) and sum(r.n_email for r in out)
-    assert personal.extra_spans("call 555-123-4567 now, ssn 123-45-6789", []) != []
+def base_personal(text):
+    """Brute force over the contract's patterns, all texts whole."""
+    def luhn(d):
+        total = 0
+        for i, c in enumerate(reversed(d)):
+            v = int(c) * (1 + i % 2)
+            total += v if v < 10 else v - 9
+        return total % 10 == 0
+
+    only = lambda x: re.sub("[^0-9]", "", x)
+    kinds = (
+        ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+|[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda x: True),
+        ("ip", r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda x: all(int(p) <= 255 for p in x.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda x: 16 <= len(only(x)) <= 19 and luhn(only(x))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda x: 8 <= len(only(x)) <= 15),
+    )
+    return [(k, *m.span()) for k, rx, fits in kinds for m in re.finditer(rx, text) if fits(m.group())]
+
+
+EXTRA_TEXTS = [
+    "4111-1111-1111-1111 4111 1111 1111 1112 x4111111111111111x 00000000000000000000", "1.2.3.4.5.6.7.8 999.1.1.1.1 01.002.3.255", "+1 (555) 123-4567 +12 +1234567 +1-2-3-4-5-6-7-8) 9", "a@b@c.d e..f@g.h.i j@k l%+-@m-n.o.p.",
+    "a@b.c@d.e", "\U0001F600 x@y.zz \U0001F600 1.1.1.1", "@" * 50 + "a.b", "1" * 60_000, "a" * 70_000 + "@b.c", None, "",
+]
+
+
+def test_personal(spark, docs, rows):
+    show = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+    made = [(2**53 + 1 + 2 * i, t) for i, t in enumerate(EXTRA_TEXTS)] + [(None, "p@q.rs")]
+    extra = spark.createDataFrame([(d, t, 1) for d, t in made], "doc_id long, text string, n_ip int").coalesce(1)
+    for table, texts in ((docs, [(d, t) for d, t, _ in rows]), (extra, made)):
+        out = personal.report(table).collect()
+        want = []
+        for doc, text in texts:
+            base = base_personal(text or "")
+            want.append((doc, *(sum(s[0] == k for s in base) for k in personal.BASE), hashlib.sha256(show(base).encode()).hexdigest()))
+        assert sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in out), key=str) == sorted(want, key=str)
+        by_doc = {d: show(base_personal(t or "")) for d, t in texts}
+        assert all(r.spans.startswith(by_doc[r.doc_id]) for r in out)
+    found = lambda t: [(k, t[a:b]) for k, a, b in personal.extra_spans(t, personal.base_spans(t))]
+    assert found("call me: 555-123-4567 now") == [("phone_local", "555-123-4567")]
+    assert found("contact ann.lee [at] example [dot] org please") == [("mail_words", "ann.lee [at] example [dot] org")]
+    assert found("account DE89370400440532013000 here") == [("iban", "DE89370400440532013000")]
+    assert found("serial number 000-12-3456 of the part") == found("version DE00123456789012345678") == found("nothing here") == []
 
 
 def test_mixing(docs, rows):
@@ -370,16 +400,62 @@ PAGE = (
 )
 
 
+SNIPPETS = [
+    (PAGE, "Big & bold\nOne\ntwo words\nitem\nmore"), (None, ""), ("", ""), ("plain text", "plain text"), ("<p>Just one.", "Just one."),
+    ('<article><p class="lead">b</p></article>', "b"), ('<article><p id="p1">a</p><p class="lead">b</p></article>', "a\nb"),
+    ("<body><div><p>real text</p></div></body>", "real text"), ("<body><p>First.</p><p>Second.</p></body>", "First.\nSecond."),
+    ('<main><div class="row"><div class="col"><p>real</p><p>more words here</p></div></div></main>', "real\nmore words here"),
+    ("<article><p>one <svg/> two</p><p>three</p></article>", "one two\nthree"), ("<p>a<svg><path/><title>no</title></svg>b</p>", "ab"),
+    ('<article><section class="related-work"><h2>Related work</h2><p>Earlier studies.</p></section><p class="share-price">Shares rose.</p><h2 class="section-header">Head</h2></article>', "Related work\nEarlier studies.\nShares rose.\nHead"),
+    ("<article><header><h1>Title</h1></header><p>Body</p></article>", "Title\nBody"), ("<header><h1>Site</h1></header><p>Body text</p>", "Body text"),
+    ('<div class="content"><p>a b c</p><ul><li>item</li></ul></div><div class="comments"><p>reader says</p></div>', "a b c\nitem"),
+    ('<body><nav><a href=/>Home</a></nav><div id="main"><h1>T</h1><p>Some prose.</p><div class="ad">Buy now</div><p>Other.</p></div><div class="sidebar"><p>Text beside</p></div><footer>(c)</footer></body>', "T\nSome prose.\nOther."),
+    ('<article><p>See <a href="/x">this link</a> for more</p><p><a href="/y">Only a link</a></p></article>', "See this link for more\nOnly a link"),
+    ("<main><article><h1>X</h1><p>y</p></article><aside><p>z</p></aside></main>", "X\ny"), ("<section><h2>Intro</h2><p>text</p></section>", "Intro\ntext"),
+    ('<div id="cookie-banner"><p>We use cookies</p><button>OK</button></div><article><p>Real</p></article>', "Real"),
+    ("<p>1 < 2 &amp;&lt;b&gt; &eacute;&#8217;</p><script>if (a<b) '</p>'</script><p>x<!-- <p>no</p> -->y", "1 < 2 &<b> \u00e9\u2019\nxy"),
+    ("<article><table><tr><td>1</td><td>2</td></tr></table></article>", "1\n2"), ("<ARTICLE><P>Caps<P>More</ARTICLE>", "Caps\nMore"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SNIPPETS)
+def test_snippets(page, text):
+    assert pages.main_text(page) == text
+
+
 def test_pages(spark):
-    assert pages.main_text(PAGE) == "Big & bold\nOne\ntwo words\nitem\nmore"
-    assert pages.main_text(None) == pages.main_text("") == ""
-    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
-        text = pages.main_text(r.html)
-        inside = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S).group(1)
-        plain = [" ".join(re.sub(r"<[^>]*>", " ", x).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
-        import html
+    import html
 
-        assert text == "\n".join(html.unescape(x) for x in plain if x), r.page_id
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    for r in rows:
+        inside = re.search(r"<article>(.*?)(</article>|$)", r.html, re.S).group(1)
+        plain = [" ".join(html.unescape(re.sub(r"<[^>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", inside)]
+        assert pages.main_text(r.html) == "\n".join(x for x in plain if x), r.page_id
+    made = [(2**53 + 1, "u", rows[0].html, 1), (None, None, "<p>text</p>", 2), (5, "v", None, 3), (5, "v", None, 3)]
+    out = pages.report(spark.createDataFrame(made, "page_id long, url string, html string, text int").coalesce(1)).collect()
+    assert [(r.page_id, r.text, r.n_chars) for r in out][1:] == [(None, "text", 4), (5, "", 0), (5, "", 0)] and out[0].page_id == 2**53 + 1
+    assert pages.report(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pages_learn():
+    """Runs of text of labelled pages that the model hasn't seen."""
+    right = total = 0
+    for page in pages.labelled_pages(100, seed=77):
+        tree = pages.parse(page)
+        for i, p in pages.marginals(tree, pages.model()).items():
+            if tree.label[i]:
+                total += 1
+                right += (p >= 0.5) == (tree.label[i] == pages.CONTENT)
+    assert right / total > 0.95
+
+
+@pytest.mark.parametrize("piece", ["<div>", "<!--", "<a href='", "<span>", "<p><b>", "</div>", "<", "&", "<div>x", "<script>", "<svg/>", "<li><p>"])
+def test_pages_take_time_in_proportion(piece):
+    import time
+
+    began = time.process_time()
+    pages.main_text("<p>start</p>" + piece * 30_000)
+    assert time.process_time() - began < 10
 
 
 def test_empty_tables(spark, docs):
