@@ -1,63 +1,31 @@
 """License scans [native]: ordered signature rules behind a keyword gate.
 
-Texts become their words, each between single spaces, so rules are regexes over words. Rules
-come in families; a family's regex runs only where its keyword occurs in the text. Where
-intervals are contained in others, the longest stays; of equal ones, the family listed first.
-The three base phrases are always reported.
+Texts become their words, with one blank between them, and the hand-written rules of
+``signatures`` are regexes over those words. A section of rules is looked at only where a text holds
+one of its gate words; within a section the first rule that fits at a place wins. Of all sections'
+intervals, those contained in others go; of equal ones, the section listed first stays. The three
+base phrases are always reported.
 
 Defined cases: null and empty texts have no words and empty labels; repeated rows give repeated
-rows; an empty table gives an empty one; extra columns are ignored.
+rows; an empty table gives an empty one; extra columns are ignored. Texts are scanned whole, in time
+in proportion to their length, but for the intervals found: to drop contained ones copies a list of
+references for each.
 """
 
 from __future__ import annotations
 
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import regex_spans, words
+from quarry.llm.common import words
+from quarry.llm.signatures import rules
 
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-
-VERSION = r"(?: (?:v|version))?(?: v?[0-9])(?: [0-9])?"
-VERBS = ("licensed under", "distributed under", "released under", "available under", "governed by", "covered by", "subject to", "under the terms of")
-#: Fixed values. Families in order of priority: gate words (any of them), label, name patterns.
-FAMILIES = (
-    ("apache asl", "apache", ("apache license", "apache software license", "apache 2 0", "asl 2 0")),
-    ("mit expat", "mit", ("mit license", "expat license", "mit x11")),
-    ("bsd", "bsd", ("bsd license", "bsd style license", "(?:0|2|3|4) clause bsd(?: license)?", "(?:simplified|modified|new|revised) bsd(?: license)?")),
-    ("mozilla mpl", "mpl", ("mozilla public license", "mpl")),
-    ("eclipse epl", "epl", ("eclipse public license", "epl")),
-    ("lesser lgpl", "lgpl", ("(?:gnu )?lesser general public license", "lgpl")),
-    ("affero agpl", "agpl", ("(?:gnu )?affero general public license", "agpl")),
-    ("gnu", "gpl-notice", ("gnu (?:general public license|gpl)", "gnu free documentation license")),
-    ("creative", "creative-commons", ("creative commons(?: attribution)?(?: (?:sharealike|noncommercial|noderivatives|share alike|non commercial|no derivatives))*(?: license)?",)),
-    ("cc cc0", "cc-variant", ("cc by(?: (?:sa|nc|nd))+", "cc0", "cc zero")),
-    ("public", "public-domain", ("public domain(?: dedication)?", "released into the public domain")),
-    ("unlicense", "unlicense", ("(?:the )?unlicense",)),
-    ("isc", "isc", ("isc license",)),
-    ("zlib", "zlib", ("zlib license", "zlib libpng license")),
-    ("boost bsl", "boost", ("boost software license", "bsl 1 0")),
-    ("artistic", "artistic", ("(?:perl )?artistic license",)),
-    ("python psf", "python", ("python software foundation license", "psf license")),
-    ("wtfpl", "wtfpl", ("wtfpl",)),
-    ("copyright copyrighted", "copyright", ("copyright (?:c )?(?:19|20)[0-9][0-9]", "copyright holders?", "copyrighted (?:material|work)")),
-    ("warranty merchantability", "warranty", ("without warranty of any kind", "as is without warranty", "no warranty", "merchantability or fitness for a particular purpose")),
-    ("permission", "permission", ("permission is hereby granted(?: free of charge)?", "permission to use copy modify", "without (?:prior )?written permission")),
-    ("redistribution redistributions", "redistribution", ("redistribution and use in source and binary forms", "redistributions (?:of source code|in binary form) must")),
-    ("spdx", "spdx", ("spdx license identifier",)),
-    ("proprietary", "proprietary", ("proprietary and confidential", "proprietary license")),
-    ("terms", "terms", ("terms of (?:use|service)", "terms and conditions")),
-)
-
-
-def rules() -> list[tuple[str, str, str]]:
-    """(keyword, label, regex over words), in order of priority: each name with each verb, versioned, then bare."""
-    out = []
-    for keyword, label, names in FAMILIES:
-        for name in names:
-            out += [(keyword, label, f"{verb} (?:the |a |an )?{name}(?:{VERSION})?") for verb in VERBS]
-            out += [(keyword, label, f"{name}{VERSION}"), (keyword, label, name)]
-    return out
+#: Control characters stand in no word.
+BEGIN, END = "\x01", "\x02"
+FOUND = "array<struct<label:string,start:int,end:int,prio:int>>"
 
 
 def _phrase_starts(w: Column, phrase: str) -> Column:
@@ -68,43 +36,35 @@ def _phrase_starts(w: Column, phrase: str) -> Column:
     return F.when(possible, F.filter(spots, hit)).otherwise(F.array().cast("array<int>"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, base starts by phrase, detections (array of label, start, end in words)."""
-    none = F.array().cast("array<struct<label:string,start:int,end:int,prio:int>>")
-    line = F.concat(F.lit(" "), F.array_join("w", "  "), F.lit(" "))
-    table = docs.select("doc_id", words(F.col("text")).alias("w")).withColumn("line", line)
-    by_family: dict[str, list[str]] = {}
-    for _, label, rx in rules():
-        by_family.setdefault(label, []).append(rx)
-    gates = {label: keyword for keyword, label, _ in FAMILIES}
-    families = []
-    for prio, (label, rxs) in enumerate(by_family.items()):
-        # every word stands between blanks of its own, so a match neither cuts a word nor eats its neighbour's blank
-        any_rule = " (?:" + "|".join(r.replace(" ", "  ") for r in rxs) + ") "
-        spans = regex_spans(F.col("line"), any_rule)
-        # blanks before a place, two to a word, give the word's number
-        at = _detection(label, prio)
-        families.append(F.when(F.arrays_overlap("w", F.array(*[F.lit(k) for k in gates[label].split(" ")])), F.transform(spans, at)).otherwise(none))
-    keyword = F.arrays_overlap("w", F.array(*[F.lit(k) for k in dict.fromkeys(" ".join(gates.values()).split(" "))]))
-    found = F.when(keyword, F.concat(*families)).otherwise(none)
-    starts = [_phrase_starts(F.col("w"), phrase).alias(label) for phrase, label in BASE]
-    return table.withColumn("found", found).select("doc_id", F.size("w").cast("long").alias("n_words"), F.struct(*starts).alias("base"), _outermost(F.col("found")).alias("found"))
+def _detections(gate: tuple[str, ...], section: list[tuple[str, str]], prio: int) -> Column:
+    """Intervals of a section's matches in words, each with the label of the rule that fits."""
+    any_rule = rf"(?<![^ ])(?:{'|'.join(p for _, p in section)})(?![^ ])"
+    marked = F.split(F.regexp_replace("line", any_rule, f"{BEGIN}$0{END}"), " ", -1)
+    at = lambda fits: F.filter(F.transform(marked, lambda x, i: F.when(fits(x), i)), lambda i: i.isNotNull())
+    both = F.arrays_zip(at(lambda x: x.startswith(BEGIN)).alias("start"), at(lambda x: x.endswith(END)).alias("last"))
 
+    def one(x: Column) -> Column:
+        text = F.array_join(F.slice("w", x["start"] + 1, x["last"] - x["start"] + 1), " ")
+        label = F.coalesce(*[F.when(text.rlike(f"^(?:{p})$"), F.lit(name)) for name, p in section])
+        return F.struct(label.alias("label"), x["start"].alias("start"), (x["last"] + 1).alias("end"), F.lit(prio).alias("prio"))
 
-def _detection(label: str, prio: int):
-    def at(x: Column) -> Column:
-        begin = _word_at(x["start"])
-        end = begin + F.regexp_count(x["found"], F.lit("[^ ]+"))
-        return F.struct(F.lit(label).alias("label"), begin.alias("start"), end.alias("end"), F.lit(prio).alias("prio"))
+    return F.when(F.arrays_overlap("gates", F.array(*[F.lit(k) for k in gate])), F.transform(both, one)).otherwise(F.array().cast(FOUND))
 
-    return at
 
-
-def _word_at(position: Column) -> Column:
-    return F.regexp_count(F.substring(F.col("line"), F.lit(1), position), F.lit("[^ ]+"))
+def scan(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, base starts by phrase, found (array of label, start, end in words)."""
+    sections = [(gate, [(label, p) for _, label, p in part]) for gate, part in groupby(rules(), key=lambda r: r[0])]
+    gates = sorted({word for gate, _ in sections for word in gate})
+    table = docs.select("doc_id", words(F.col("text")).alias("w"))
+    table = table.withColumns({"gates": F.array_distinct(F.filter("w", lambda x: x.isin(*gates)))})
+    table = table.withColumn("line", F.when(F.size("gates") > 0, F.array_join("w", " ")))
+    found = F.concat(*[_detections(gate, section, prio) for prio, (gate, section) in enumerate(sections)])
+    starts = [_phrase_starts(F.col("w"), phrase).alias(label) for phrase, label in BASE]
+    table = table.withColumn("found", F.when(F.size("gates") > 0, found).otherwise(F.array().cast(FOUND)))
+    return table.select("doc_id", F.size("w").cast("long").alias("n_words"), F.struct(*starts).alias("base"), outermost(F.col("found")).alias("found"))
 
 
-def _outermost(found: Column) -> Column:
+def outermost(found: Column) -> Column:
     """Drop intervals contained in others, by one pass in order of start, longest first."""
     order = F.array_sort(F.transform(found, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("neg"), x["prio"].alias("prio"), x["label"].alias("label"))))
     zero = F.struct(F.lit(-1).alias("end"), F.array().cast("array<struct<label:string,start:int,end:int>>").alias("kept"))
@@ -118,8 +78,10 @@ def _outermost(found: Column) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    hits = F.concat(*[F.col(f"base.{label}") if "-" not in label else F.col("base").getField(label) for _, label in BASE])
-    names = F.filter(F.array(*[F.when(F.size(F.col("base").getField(label)) > 0, F.lit(label)) for _, label in BASE]), lambda x: x.isNotNull())
+    """The contract's columns, and found. ``score``: the share of a text's words, at most 50 of them, in found intervals; a base phrase counts 3 words."""
+    starts = [F.col("base").getField(label) for _, label in BASE]
+    hits = F.concat(*starts)
+    names = F.filter(F.array(*[F.when(F.size(s) > 0, F.lit(label)) for s, (_, label) in zip(starts, BASE)]), lambda x: x.isNotNull())
     covered = F.aggregate("found", F.lit(0), lambda a, x: a + x["end"] - x["start"])
     return scan(docs).select(
         "doc_id", "n_words", F.size(hits).cast("long").alias("n_base"),

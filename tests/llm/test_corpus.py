@@ -134,19 +134,53 @@ def test_near_duplicates_over_many_cells(spark, monkeypatch):
     assert as_sets(neardups.classes(table), "doc_id", "class_id", "n_links") == sorted((i, group[i], sum(near[i])) for i in range(len(sets)))
 
 
-def test_licenses(docs, rows):
+def license_intervals(w):
+    """Brute force: each section's matches by Python's regexes over the words, contained ones dropped by comparing all."""
+    line, found, seen = " ".join(w), [], {}
+    for gate, label, p in licenses.rules():
+        seen.setdefault(gate, []).append((label, p))
+    for prio, (gate, section) in enumerate(seen.items()):
+        if set(gate) & set(w):
+            for m in re.finditer("(?<![^ ])(?:" + "|".join(f"(?P<r{i}>{p})" for i, (_, p) in enumerate(section)) + ")(?![^ ])", line):
+                start = line[: m.start()].count(" ")
+                found.append((start, start + m.group().count(" ") + 1, prio, section[int(m.lastgroup[1:])][0]))
+    inside = lambda x, y: y[0] <= x[0] and x[1] <= y[1] and (x[:2] != y[:2] or y[2] < x[2])
+    return sorted((s, e, lb) for s, e, p, lb in found if not any(inside((s, e, p), y) for y in found))
+
+
+LICENSE_TEXTS = [
+    "Licensed under the Apache License, Version 2.0 (the License); see https://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0",
+    "the GNU Lesser General Public License version 2.1 or any later version", "GPL v3, GPLv2+ or LGPL 2.1; MIT license, the MIT licence", "cc by-sa 4.0 and CC BY 4.0, cc-by-nc-nd", "Copyright (c) 2019, 2020, 2021 X. All rights reserved.",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", "mit license " * 300, "cc by" + " nc" * 4000, "copyright 2019 " * 500, "general public license general public license", "licensed under the general public license", "license", None, "", "gpl", "the the the public domain", "mitlicense xgpl gplx",
+]
+
+
+def test_licenses(spark, docs, rows):
+    extra = [(2**53 + 1 + 2 * i, t) for i, t in enumerate(LICENSE_TEXTS)] + [(None, "gpl")]
+    table = docs.select("doc_id", "text", "key").unionByName(spark.createDataFrame([(d, t, "x") for d, t in extra], "doc_id long, text string, key string"))
+    key = lambda x: tuple(map(str, x))
     want = []
-    for doc, text, _ in rows:
-        w = words(text)
+    for doc, text in [(d, t) for d, t, _ in rows] + extra:
+        w = words(text or "")
         hits = [(i, lb) for p, lb in licenses.BASE for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
-        at = [i for i, _ in hits]
-        want.append((doc, len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(sorted({lb for _, lb in hits}))))
-    got = licenses.report(docs).collect()
-    key = lambda x: (x[0], x[1], x[2])
-    assert sorted(((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) for r in got), key=key) == sorted(want, key=key)
-    assert {r.labels for r in got if r.doc_id == 10_010} == {"apache,mit"}
-    assert all(0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got)
-    assert len(licenses.rules()) > 200
+        at, found = [i for i, _ in hits], license_intervals(w)
+        base = sorted({lb for _, lb in hits})
+        score = min(1.0, (sum(e - s for s, e, _ in found) + 3 * len(hits)) / max(1, min(len(w), 50)))
+        want.append((doc, len(w), len(hits), min(at, default=None), max(at, default=None), ",".join(base), ",".join(sorted({*base, *(x[2] for x in found)})), score, str(found)))
+    got = licenses.report(table).collect()
+    shown = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score, str([(x.start, x.end, x.label) for x in r.found])) for r in got]
+    assert sorted(shown, key=key) == sorted(want, key=key)
+    labels = {r.doc_id - 2**53: r.labels for r in got if r.doc_id and r.doc_id > 2**53}
+    assert labels[1].startswith("apache-2.0") and labels[3] == "spdx-gpl" and "lgpl-2.1" in labels[5]
+    assert {"gpl-3.0", "mit"} <= set(labels[7].split(",")) and {"cc-by", "cc-by-sa", "cc-by-version", "cc-by-nc-nd"} == set(labels[9].split(","))
+    assert labels[13] == "mit-text" and labels[15] == "mit" and labels[17].startswith("cc-by") and labels[25] == labels[27] == "" and labels[35] == ""
+    assert len(licenses.rules()) > 200 and len({p for *_, p in licenses.rules()}) == len(licenses.rules())
+
+
+def test_licenses_of_a_very_long_text(spark):
+    table = spark.createDataFrame([(1, "cc by" + " nc" * 1_000_000), (2, "gpl and " * 20_000), (3, "x" * 3_000_000)], "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.report(table).collect()}
+    assert got[1].n_words == 1_000_002 and got[1].n_base == 1 and got[1].labels.startswith("cc-by") and got[3].labels == ""
 
 
 def test_secrets(docs, rows):
