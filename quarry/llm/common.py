@@ -26,6 +26,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP, -1), "")
 
 
+#: Bytes that separate words become spaces; those of characters beyond ASCII all belong to words.
+GAP_BYTES = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else 0x20 for b in range(256))
+
+
+def split_words(text: str) -> list[bytes]:
+    """The same words, in Python."""
+    return text.encode("utf-8", "surrogatepass").lower().translate(GAP_BYTES).split()
+
+
 def regex_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """All leftmost non-overlapping matches as array<struct<start,end,found>>, code points, end exclusive.
 

@@ -22,11 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint_dir
+from quarry.llm.common import checkpoint_dir, split_words
 
 BANDS, ROWS, SHINGLE, LIMIT, CELL = 36, 6, 5, 0.8, 1 << 17
-#: Bytes that separate words become spaces; those of characters beyond ASCII all belong to words.
-GAPS = bytes(b if b >= 0x80 or chr(b).isdigit() or chr(b).islower() else 0x20 for b in range(256))
 KNOWN = 1 << 20
 
 
@@ -41,10 +39,6 @@ class _WordHashes(dict):
 _known = _WordHashes()
 
 
-def split_words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().translate(GAPS).split()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ (x >> np.uint64(29))

@@ -355,7 +355,7 @@ def test_quality(spark, docs, rows):
     assert classifier.report(docs, labels.limit(0)).count() == len(rows)
 
 
-def test_decontamination(spark, docs, rows):
+def test_decontamination(spark, docs, rows, monkeypatch):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()] + [(900, None), (901, "rights reserved"), (902, "rights reserved")]
     wins = defaultdict(set)
     for item, text in items:
@@ -372,7 +372,16 @@ def test_decontamination(spark, docs, rows):
                     ids |= wins[tuple(w[i : i + n])]
         want.append((doc, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
     bench = spark.createDataFrame(items, "item_id long, text string")
-    assert as_sets(decontamination.report(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(want)
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert as_sets(decontamination.report(docs, bench), *columns) == sorted(want)
+    # more terms than go to every task: by a join
+    monkeypatch.setattr(decontamination, "MAX_TERMS", 10)
+    assert as_sets(decontamination.report(docs, bench), *columns) == sorted(want)
+    clash = docs.selectExpr("*", "'z' as n_words", "3 as term", "4 as items")
+    kept = decontamination.clean(clash, bench)
+    assert kept.columns == clash.columns and sorted(r.doc_id for r in kept.collect()) == sorted(w[0] for w in want if not w[5])
+    full = decontamination.decontaminate(clash, bench)
+    assert as_sets(full, "doc_id", "n_words", "n_hit") == sorted(w[:3] for w in want) and {"term", "items", "key", "w"} <= set(full.columns)
 
 
 def test_proximity(spark):
@@ -395,6 +404,9 @@ def test_proximity(spark):
     assert as_sets(decontamination.proximity(docs, bench), "doc_id", "near_items") == want
     assert [want[i][1] for i in range(6)] == [["1"]] * 4 + [[], []] and want[9][1] == ["2"] and any("3" in k for _, k in want)
     assert as_sets(decontamination.report(docs, bench).filter("contaminated and doc_id < 8"), "doc_id") == [(0,)]
+    assert as_sets(decontamination.report(docs, bench), "doc_id", "n_near_items") == [(i, len(k)) for i, k in want]
+    null = spark.createDataFrame([(2**53 + 1, "short item"), (None, "short item"), (None, None)], "doc_id long, text string").coalesce(1)
+    assert sorted(((r.doc_id, r.n_hit) for r in decontamination.report(null, bench).collect()), key=str) == sorted([(2**53 + 1, 2), (None, 2), (None, 0)], key=str)
 
 
 def test_search(spark):
