@@ -343,16 +343,37 @@ def test_mixed_blocks(docs, rows):
     assert whole
 
 
-def test_quality(spark, docs, rows):
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = {r.doc_id: r for r in classifier.report(docs, labels).collect()}
+@pytest.mark.parametrize(("sf", "least"), [("0.001", 0.9), ("0.01", 0.97)])
+def test_quality(spark, sf, least):
+    folder = f"/root/testdata/sf{sf}"
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "1 as quality", "'s' as score", "2 as is_positive", "3 as x")
+    odd = spark.createDataFrame([(None, None), (2**53 + 1, None), (2**53 + 1, ""), (2**53 + 3, "x" * 300_000)], "doc_id long, text string")
+    table = docs.unionByName(odd, allowMissingColumns=True)
+    got = classifier.report(table, labels).collect()
+    by_id = {r.doc_id: r for r in got}
+    assert len(got) == table.count() and by_id[None].held_out is False and 2**53 + 1 in by_id
     truth = {r.doc_id: r.quality for r in labels.collect()}
-    held = [d for d in truth if zlib.crc32(str(d).encode()) % 5 == 0]
-    assert all(got[d].held_out for d in held)
-    pos, neg = [got[d].score for d in held if truth[d] == 1], [got[d].score for d in held if truth[d] == 0]
+    held = [d for d in truth if d in by_id and zlib.crc32(str(d).encode()) % 5 == 0]
+    assert all(by_id[d].held_out for d in held)
+    pos, neg = [by_id[d].score for d in held if truth[d] == 1], [by_id[d].score for d in held if truth[d] == 0]
     auc = np.mean([(p > n) + 0.5 * (p == n) for p in pos for n in neg])
-    assert auc > 0.9 and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
-    assert classifier.report(docs, labels.limit(0)).count() == len(rows)
+    print(f"held-out AUC at sf{sf}: {auc:.4f} over {len(pos)} and {len(neg)} rows")
+    assert auc > least and np.mean([p >= 0.3 for p in pos]) > 0.98
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
+    assert sorted(map(str, classifier.report(table.repartition(5), labels).collect())) == sorted(map(str, got))
+    assert {r.score for r in classifier.report(table, labels.limit(0)).collect()} == {0.5}
+    assert classifier.kept(table, None).columns == table.columns and classifier.report(table.limit(0), labels).count() == 0
+
+
+def test_prior():
+    """The share of positives comes from positives and unlabelled texts alone."""
+    rng = np.random.default_rng(2)
+    good, bad = rng.normal(0, 1, (3000, 6)), rng.normal(0, 1, (3000, 6)) + [3, 0, 0, 0, 2, 0]
+    for share in (0.3, 0.6, 0.9):
+        n = int(2000 * share)
+        mixed = rng.permutation(np.r_[good[:n], bad[: 2000 - n]])
+        assert abs(classifier.class_prior(good[2000:], mixed) - share) < 0.08
 
 
 def test_decontamination(spark, docs, rows, monkeypatch):
