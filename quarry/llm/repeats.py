@@ -26,15 +26,14 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint_dir, remove_folder
+from quarry.llm.common import checkpoint_dir, remove_folder, tidy
 
 LENGTH, ROUNDS = 50, (32, 50)
 CHUNK, BUCKET_BYTES, TABLE_BYTES = 4 << 20, 1 << 20, 64 << 20
@@ -316,18 +315,6 @@ def _removed(plan: Plan, keep_text: bool):
     return run
 
 
-@contextmanager
-def _tidy(spark: SparkSession):
-    """Shuffle files go as soon as what they were made for is written."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    was = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, was)
-
-
 def removed(docs: DataFrame, keep_text: bool = True, rounds: tuple[int, ...] = ROUNDS, chunk_bytes: int = CHUNK) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the text left, cut characters dropped; null without ``keep_text``)."""
     spark = docs.sparkSession
@@ -344,7 +331,7 @@ def removed(docs: DataFrame, keep_text: bool = True, rounds: tuple[int, ...] = R
     tasks = max(1, min(-(-total // chunk_bytes), max(4096, -(-total // (16 * chunk_bytes)))))
     buckets = min(100_000, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TABLE_BYTES)))
     dealt = rows.filter(takes).withColumn("key", F.unhex(F.md5("text"))).repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "key")
-    with _tidy(spark):
+    with tidy(spark):
         (
             dealt.select("doc_id", "key", "n", "text").mapInPandas(_chunked(chunk_bytes), "chunk long, sub int, doc_id long, times int, key binary, text string")
             .write.bucketBy(buckets, "chunk", "sub").option("path", f"{folder}/texts").option("compression", "zstd").saveAsTable(name)

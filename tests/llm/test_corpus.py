@@ -314,7 +314,7 @@ def test_mixing(docs, rows):
 def test_mixed_blocks(docs, rows):
     """The blocks hold the words of their source's texts, in stretches, and ``taken`` counts them."""
     space = re.compile(r"[^\x20\x09-\x0D]+")
-    got = mixing.blocks(docs).collect()
+    got = mixing.blocks(docs, block_words=64).collect()
     texts, slots = defaultdict(list), defaultdict(dict)
     for _, text, source in rows:
         texts[source].append(space.findall(text))
@@ -323,7 +323,7 @@ def test_mixed_blocks(docs, rows):
         slots[r.source][r.slot] = (r.block, r.text.split(" "))
     assert len({r.shard for r in got}) > 30
     taken = defaultdict(int)
-    for r in mixing.mixed(docs).collect():
+    for r in mixing.mixed(docs, block_words=64).collect():
         taken[r.source] += r.taken
     whole = 0
     for source, all_texts in texts.items():
@@ -343,6 +343,37 @@ def test_mixed_blocks(docs, rows):
     assert whole
 
 
+def test_shuffle_is_a_permutation(spark):
+    """Of any number of indices, undone in reverse, and no rotation."""
+    from pyspark.sql import functions as F
+
+    for n in (1, 2, 3, 99, 154, 1000):
+        rounds = F.transform(F.sequence(F.lit(1), F.lit(mixing.ROUNDS)), lambda i: F.struct((i + 12345).alias("nth"), F.pmod(F.xxhash64(F.lit(7), i), F.lit(n)).alias("key")))
+        table = spark.range(n).withColumn("rounds", rounds).withColumn("to", mixing.shuffled(F.col("id"), F.col("rounds"), F.lit(n).cast("long")))
+        got = table.withColumn("back", mixing.shuffled(F.col("to"), F.reverse("rounds"), F.lit(n).cast("long"))).orderBy("id").collect()
+        to = [r.to for r in got]
+        assert sorted(to) == list(range(n)) and [r.back for r in got] == list(range(n))
+        if n > 90:
+            steps = Counter((b - a) % n for a, b in zip(to, to[1:]))
+            assert max(steps.values()) < 8
+
+
+def test_shards_are_drawn(spark, docs):
+    """A source's counts in the shards spread as a multinomial draw does, and each shard has one run of slots."""
+    got = mixing.blocks(docs, block_words=8, shards=16).collect()
+    by = defaultdict(lambda: defaultdict(list))
+    for r in got:
+        by[r.source][r.shard].append(r.slot)
+    chi = freedom = 0
+    for shards in by.values():
+        n = sum(map(len, shards.values()))
+        if n > 400:
+            chi += sum((len(shards[k]) - n / 16) ** 2 / (n / 16) for k in range(16))
+            freedom += 15
+        assert all(max(x) - min(x) == len(x) - 1 for x in shards.values())
+    assert freedom and 0.5 < chi / freedom < 1.6
+
+
 @pytest.mark.parametrize(("sf", "least"), [("0.001", 0.9), ("0.01", 0.97)])
 def test_quality(spark, sf, least):
     folder = f"/root/testdata/sf{sf}"
