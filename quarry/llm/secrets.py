@@ -1,21 +1,27 @@
 """Secret scans [native]: candidates told apart by who owns them, corpus-wide.
 
-Every candidate's value is hashed and aggregated by distinct owners (groups of near copies of a
-text, whatever their ids) and repositories (the least ``source`` of each owner). Values seen in more than ``max_repos`` repositories are widely copied examples;
-the others look live. Three base kinds are always reported; the provider formats of ``MORE`` only
-where they look live.
-
-Defined cases: null text is empty and has no spans; a null source is one repository; repeated
-rows and copies of a text count as one owner and give repeated rows; empty tables give empty
-ones; extra columns are ignored.
+Texts are scanned once; what is found is stored without them. Every candidate's value is hashed and
+aggregated by distinct owners (groups of near copies of a text, whatever their ids) and repositories
+(the least ``source`` of each owner). A key that works has one owner, or two where a person or a fork
+holds it too; what stands in texts of more owners, or in more than one repository though the texts
+aren't copies of each other, is an example that people copy. So values of more than ``max_repos``
+repositories or ``max_owners`` owners are taken for examples; the others look live. The three base
+kinds are always reported; the provider formats of ``MORE`` only where they look live.
+
+Defined cases: null text is empty and has no spans; a null source is one repository; repeated rows
+and copies of a text count as one owner and give repeated rows; spans of equal start go by kind;
+very long texts are scanned whole; empty tables give empty ones; extra columns are ignored, and kept
+by ``redact``.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import regex_spans, words
+from quarry.llm.common import checkpoint_dir, regex_spans, words
 
 #: Fixed values. kind, pattern, group with the value, least characters of it
 BASE = (
@@ -43,13 +49,14 @@ LINE_ENDS = r"\\[nrt]|\s+"
 
 #: Texts with four fifths of their shingles in common share one of so many bands but for one pair in a thousand.
 BANDS = 8
+KEY, SPANS = "secrets_row_key", "secrets_row_spans"
 
 
 def _found(text: Column, gate: Column, pattern: str, group: int, least: int, kind: str, nth: int) -> Column:
     spans = F.filter(regex_spans(text, pattern, group), lambda x: F.length(x["found"]) >= least)
     value = lambda x: F.regexp_replace(x["found"], LINE_ENDS, "") if kind == "private" else x["found"]
-    row = lambda x: F.struct(x["start"].alias("start"), F.lit(nth).alias("nth"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.xxhash64(value(x)).alias("value"))
-    none = F.array().cast("array<struct<start:int,nth:int,end:int,kind:string,value:bigint>>")
+    row = lambda x: F.struct(x["start"].alias("start"), F.lit(nth).alias("nth"), x["end"].alias("end"), F.lit(kind).alias("kind"), F.md5(value(x)).alias("value"))
+    none = F.array().cast("array<struct<start:int,nth:int,end:int,kind:string,value:string>>")
     return F.when(gate, F.transform(spans, row)).otherwise(none)
 
 
@@ -63,12 +70,22 @@ def _bands(text: Column) -> Column:
     return F.flatten(F.flatten(F.transform(F.array(words(text)), of)))
 
 
+def row_key() -> Column:
+    """Names rows of one id, source and text."""
+    return F.md5(F.concat(F.to_json(F.struct("doc_id", "source")), F.coalesce("text", F.lit(""))))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, source, key (of equal rows), copy (of equal texts), bands of texts with spans, spans ordered by start, then kind."""
+    """doc_id, source, key (of equal rows), copy (of equal texts), bands of texts with spans, spans ordered by start, then kind; stored."""
+    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     each = [_found(text, F.col("text").rlike(p), p, g, n, kind, i) for i, (kind, p, g, n) in enumerate(BASE + MORE)]
-    out = docs.select("doc_id", "source", "text", F.xxhash64("doc_id", "text", "source").alias("key"), F.xxhash64("text").alias("copy"), F.array_sort(F.concat(*each)).alias("spans"))
-    return out.withColumn("bands", F.when(F.size("spans") > 0, _bands(F.col("text")))).drop("text")
+    out = docs.select("doc_id", "source", "text", row_key().alias("key"), F.array_sort(F.concat(*each)).alias("spans"))
+    some = F.size("spans") > 0
+    out = out.withColumns({"copy": F.when(some, F.md5("text")), "bands": F.when(some, _bands(F.col("text")))}).drop("text")
+    path = f"{checkpoint_dir(spark)}/candidates-{uuid.uuid4().hex}"
+    out.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -96,29 +113,40 @@ def scan(docs: DataFrame, max_repos: int = 1, max_owners: int = 2) -> DataFrame:
         .join(live, "value", "left_semi")
         .groupBy("key").agg(F.collect_set("value").alias("live"))
     )
-    live = F.coalesce("live", F.array().cast("array<bigint>"))
+    live = F.coalesce("live", F.array().cast("array<string>"))
     kept = F.filter("spans", lambda x: (x["nth"] < len(BASE)) | F.array_contains(live, x["value"]))
     count = F.size(F.filter("spans", lambda x: F.array_contains(live, x["value"])))
     return found.join(hits, "key", "left").select("doc_id", "key", kept.alias("spans"), count.cast("long").alias("n_live"), (F.size("spans") - count).cast("long").alias("n_example"))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """The documents, secrets of the base kinds and live ones replaced by <secret>; no row goes."""
-    scanned = scan(docs).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias("found_spans"))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+def _without(text: Column, spans: Column) -> Column:
+    """The text with each stretch of overlapping spans replaced by <secret>, one character after the other."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<begin:int,end:int>>").alias("gaps"))
 
     def step(acc: Column, x: Column) -> Column:
-        gap = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
-        mark = F.when(x["start"] >= acc["at"], F.concat(gap, F.lit("<secret>"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
-
-    done = F.aggregate("found_spans", zero, step)
-    clean = F.when(F.col("found_spans").isNull(), F.col("text")).otherwise(F.concat(done["out"], F.substring(F.col("text"), done["at"] + 1, F.length("text"))))
-    keyed = docs.withColumn("secret_key", F.xxhash64("doc_id", "text", "source"))
-    scanned = scanned.withColumnRenamed("key", "secret_key")
-    out = keyed.join(scanned, "secret_key", "left").withColumn("text", clean)
+        gap = F.array(F.struct(acc["at"].alias("begin"), x["start"].alias("end")))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["gaps"], gap)).otherwise(acc["gaps"]).alias("gaps"))
+
+    def joined(chars: Column) -> Column:
+        done = F.aggregate(spans, zero, step)
+        gaps = F.concat(done["gaps"], F.array(F.struct(done["at"].alias("begin"), F.size(chars).alias("end"))))
+        return F.array_join(F.transform(gaps, lambda g: F.array_join(F.slice(chars, g["begin"] + 1, g["end"] - g["begin"]), "")), "<secret>")
+
+    # the array of one element names the characters, which are then split once
+    return F.transform(F.array(F.split(text, "", -1)), joined)[0]
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """The documents, secrets of the base kinds and live ones replaced by <secret>; no row goes. ``n_chars``, where there is one, follows the text."""
+    spark = docs.sparkSession
+    path = f"{checkpoint_dir(spark)}/secrets-{uuid.uuid4().hex}"
+    scan(docs).filter(F.size("spans") > 0).groupBy("key").agg(F.first("spans").alias(SPANS)).withColumnRenamed("key", KEY).write.parquet(path)
+    # read back, its size is known: Spark sends it to every task if small, and joins by key if not
+    out = docs.withColumn(KEY, row_key()).join(spark.read.parquet(path), KEY, "left")
+    clean = F.when(F.col(SPANS).isNull(), F.col("text")).otherwise(_without(F.col("text"), F.col(SPANS)))
+    out = out.withColumn("text", clean)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("found_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+        out = out.withColumn("n_chars", F.when(F.col(SPANS).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
     return out.select(*docs.columns)
 
 

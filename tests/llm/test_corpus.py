@@ -200,6 +200,18 @@ def test_secrets(docs, rows):
     assert secrets.redact(docs).count() == len(rows)
 
 
+def test_redaction(spark):
+    """Overlapping spans, text before and after, columns of any name, null ids."""
+    key, code = "AKIA" + "ABCDEFGHIJKLMNOP", "0123456789abcdef" * 2
+    texts = [f"\u00e9 {key} mid {code}, token={code}!", f"token={key}", key, f"\U0001F600{key}\U0001F600", "none", "", None, f"secret: {'z' * 90_000} end"]
+    want = ["\u00e9 <secret> mid <secret>, <secret>!", "<secret>", "<secret>", "\U0001F600<secret>\U0001F600", "none", "", None, "<secret> end"]
+    table = spark.createDataFrame([(2**53 + 1 + 2 * i, t, None, 7, 1) for i, t in enumerate(texts)] + [(None, key, "s", 1, 1)], "doc_id long, text string, source string, n_chars long, found_spans int").selectExpr("*", "2 as key", "3 as secret_key", "4 as spans")
+    out = secrets.redact(table)
+    got = {r.doc_id: r for r in out.collect()}
+    assert out.columns == table.columns and [got[2**53 + 1 + 2 * i].text for i in range(len(texts))] == want and got[None].text == "<secret>"
+    assert got[2**53 + 1].n_chars == len(want[0]) and got[2**53 + 9].n_chars == 7 and {(r.found_spans, r.key, r.secret_key) for r in got.values()} == {(1, 2, 3)}
+
+
 def test_private_keys(spark):
     """Different keys of one type are different values, and the whole block goes."""
     import base64
