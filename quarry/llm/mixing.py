@@ -144,10 +144,10 @@ def _packed(rows: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
 
     # the array of one element names the tokens, which are then split once a text
     cut = F.flatten(F.transform(F.array(tokens), lambda w: F.transform(F.sequence(first, last), lambda b: piece(w, b))))
-    pieces = rows.filter("size > 0").select("source", "bucket", "nth", F.explode(cut).alias("x")).select("source", "bucket", "nth", "x.*")
+    pieces = rows.filter("size > 0").select("source", "bucket", "nth", "doc_id", F.explode(cut).alias("x")).select("source", "bucket", "nth", "doc_id", "x.*")
     none = lambda kind: F.lit(None).cast(kind)
-    part, to = "struct<at:int,bucket:bigint,nth:int,n:int,text:string>", "struct<shard:bigint,slot:bigint,take:bigint>"
-    both = pieces.select("source", "block", F.struct("at", "bucket", "nth", "n", "text").cast(part).alias("part"), none(to).alias("to")).unionAll(
+    part, to = "struct<at:int,bucket:bigint,nth:int,n:int,doc_id:bigint,text:string>", "struct<shard:bigint,slot:bigint,take:bigint>"
+    both = pieces.select("source", "block", F.struct("at", "bucket", "nth", "n", F.col("doc_id").cast("long").alias("doc_id"), "text").cast(part).alias("part"), none(to).alias("to")).unionAll(
         slots.select("source", "block", none(part).alias("part"), F.struct("shard", "slot", "take").cast(to).alias("to"))
     )
     # a block has at most ``block_words`` pieces and, but for one, ``ceiling`` slots
@@ -157,7 +157,7 @@ def _packed(rows: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
     def kept(x: Column) -> Column:
         rest = F.col("take") - x["at"]
         text = F.when(x["n"] > rest, F.array_join(F.slice(F.split(x["text"], " ", -1), 1, rest.cast("int")), " ")).otherwise(x["text"])
-        return F.struct(x["at"].alias("at"), x["bucket"].alias("bucket"), x["nth"].alias("nth"), F.least(x["n"], rest).alias("n"), text.alias("text"))
+        return F.struct(x["at"].alias("at"), x["bucket"].alias("bucket"), x["nth"].alias("nth"), F.least(x["n"], rest).alias("n"), x["doc_id"].alias("doc_id"), text.alias("text"))
 
     cut_off = F.transform(F.filter("parts", lambda x: x["at"] < F.col("take")), kept)
     return full.select("source", "shard", "slot", "block", "take", cut_off.alias("pieces"))
@@ -181,8 +181,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, s
 
 
 def blocks(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: source, shard, slot, block, and text, the block's words with one blank between them."""
-    return mix(docs, **options)[2].select("source", "shard", "slot", "block", F.array_join("pieces.text", " ").alias("text"))
+    """The mix itself: source, shard, slot, block, text (the block's words with one blank between them) and doc_ids, of the texts it comes from."""
+    ids = F.array_compact(F.array_distinct("pieces.doc_id"))
+    return mix(docs, **options)[2].select("source", "shard", "slot", "block", F.array_join("pieces.text", " ").alias("text"), ids.alias("doc_ids"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
