@@ -1,7 +1,11 @@
 """From raw documents to a training mix, in five stages; each takes (spark, docs, sf_dir).
 
-All but the last return the columns of documents. The last returns, for each text left, how many
-words the mix takes.
+All but the last return the columns of documents. The last returns the mix: blocks of text by shard
+and slot, with the ids of the documents they come from.
+
+Defined cases, of every stage: extra columns of documents are kept, whatever their names; a null
+text is empty, a null source a source of its own, a null doc_id no copy of anything; rows that
+repeat an id and a text are copies; an empty table gives an empty one; reruns agree.
 """
 
 from __future__ import annotations
@@ -9,27 +13,24 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarry.llm import classifier, decontamination, mixing, neardups, secrets
-from quarry.llm.common import checkpoint_dir, table
+from quarry.llm.common import checkpoint_dir, remove_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents the classifier rejects go."""
-    model = classifier.train(docs, table(spark, sf_dir, "labels"))
-    return classifier.scored(docs, model, "quality_score").filter(F.col("quality_score") >= 0.3).select(*docs.columns)
+    """Documents the classifier rejects go; without labels none do."""
+    return classifier.kept(docs, classifier.train(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, the one of the least doc_id."""
+    """One document of each group of near copies stays, the one of the least doc_id; texts without words are no copies."""
     return neardups.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with benchmark passages go."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.filter("n_hit = 0").select(*docs.columns)
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +39,8 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words taken of each text by the mix of sources."""
-    return mixing.mixed(docs)
+    """The blocks of the mix of sources: source, shard, slot, block, text, doc_ids."""
+    return mixing.blocks(docs)
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("redact_secrets", redact_secrets), ("mix", mix)]
@@ -48,8 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    base, before = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
-        docs = spark.read.parquet(f"{base}/{name}")
+        path = f"{base}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if before:
+            remove_folder(spark, before)
+        before = path
     return docs
