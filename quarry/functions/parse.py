@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from quarry.functions import patterns as P
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def matched(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return once(F.regexp_extract(text, pattern, group), lambda x: F.when(x != "", x))
 
 
 def envelope(raw: Column) -> Column:
@@ -26,39 +31,67 @@ def envelope(raw: Column) -> Column:
     )
 
 
+def time_kind(text: Column) -> Column:
+    """Which of the time formats a matched text has, by the signs at fixed places."""
+    at = lambda i: F.substring(text, i, 1)
+    letter = lambda i: at(i).between("A", "z")
+    return (
+        F.when(at(5) == "-", F.when(at(11) == "-", F.lit("bgl")).otherwise(F.lit("iso"))).when(at(9) == "-", F.lit("compact"))
+        .when(at(3) == "/", F.when(letter(4), F.lit("clf")).otherwise(F.lit("slash2")))
+        .when(at(3) == "-", F.lit("md")).when(at(3) == ".", F.lit("dotmd"))
+        .when(letter(1), F.when(letter(5), F.lit("ctime")).otherwise(F.lit("syslog")))
+        .when(at(7) == " ", F.lit("hdfs")).when(text != "", F.lit("epoch"))
+    )
+
+
+TIME = "|".join(f"(?:{p})" for _, p, _ in P.TIMES)
+
+
 def time_text(line: Column) -> Column:
     """struct<kind, text> of the leftmost time in the first 64 characters."""
-    combined = "|".join(f"({p})" for _, p, _ in P.TIMES)
-    head = F.substring(line, 1, 64)
-    kind = F.coalesce(*[F.when(F.regexp_extract(head, combined, i) != "", F.lit(k)) for i, (k, _, _) in enumerate(P.TIMES, 1)])
-    return F.struct(kind.alias("kind"), matched(head, combined).alias("text"))
+    return once(F.regexp_extract(F.substring(line, 1, 64), TIME, 0), lambda t: F.struct(time_kind(t).alias("kind"), F.when(t != "", t).alias("text")))
+
+
+def is_dated(line: Column) -> Column:
+    return F.substring(line, 1, 64).rlike(TIME)
 
 
 def time_value(found: Column, year: int = 2000) -> Column:
     """Timestamp without zone, to the second; kinds without a year take ``year``; two-digit years turn at 69."""
-    text, kind = F.regexp_replace(found["text"], " +", " "), found["kind"]
+    return once(found, lambda f: _time_value(f["kind"], f["text"], year))
+
+
+def _time_value(kind: Column, text: Column, year: int) -> Column:
+    one = lambda t: F.regexp_replace(t, " +", " ")
     century = F.when(F.substring(text, 1, 2).cast("int") >= 69, F.lit("19")).otherwise(F.lit("20"))
     out = F.when(kind == "epoch", F.timestamp_seconds(text.try_cast("long")).cast("timestamp_ntz"))
     for k, _, fmt in P.TIMES[:-1]:
         t = text
         if k == "iso":
-            t = F.translate(F.regexp_extract(text, r"^[^.,]*", 0), "T", " ")
-        elif k == "bgl":
-            t = F.regexp_extract(text, r"^[^.]*\.\d+\.\d+", 0)
+            # the commonest: no format to parse by
+            out = out.when(kind == k, F.substring(F.translate(text, "T", " "), 1, 19).try_cast("timestamp_ntz"))
+            continue
+        if k == "bgl":
+            t = F.substring(text, 1, 19)
         elif k == "compact":
-            t = F.regexp_extract(text, r"^[^:]*:\d+:\d+", 0)
+            t = F.substring(text, 1, 17)
         elif k == "ctime":
-            t = F.regexp_replace(text, "^[A-Za-z]+ ", "")
+            t = F.regexp_replace(one(text), "^[A-Za-z]+ ", "")
         elif k in ("slash2", "hdfs"):
             t, fmt = F.concat(century, text), fmt.replace("yy", "yyyy")
         elif k in ("syslog", "md", "dotmd"):
-            t = F.concat(F.lit(f"{year} "), F.regexp_extract(text, r"^.*:\d\d:\d\d", 0))
+            t = F.concat(F.lit(f"{year} "), F.regexp_extract(one(text), r"^.*:\d\d:\d\d", 0))
         out = out.when(kind == k, F.try_to_timestamp(t, F.lit(fmt)).cast("timestamp_ntz"))
     return out
 
 
+def log_time(stamps: list[Column], year: int = 2000) -> Column:
+    """The first of the given texts whose time can be read."""
+    return F.coalesce(*[time_value(time_text(s), year) for s in stamps])
+
+
 def is_continuation(line: Column) -> Column:
-    return line.rlike(P.CONTINUATION) & time_text(line)["text"].isNull()
+    return line.rlike(P.CONTINUATION) & ~is_dated(line)
 
 
 def is_signal(level: Column, probe: Column) -> Column:
@@ -97,10 +130,20 @@ def json_fields(line: Column, levels: int = 4) -> Column:
     return F.map_from_entries(entries(F.try_parse_json(line), F.lit(""), levels))
 
 
+def role_key(fields: Column, keys: tuple[str, ...]) -> Column:
+    """The field that plays a role: the first of the keys, without regard to case."""
+    lower = lambda k: F.filter(F.map_keys(fields), lambda x: F.lower(x) == k)
+    return F.coalesce(*[F.get(lower(k), F.lit(0)) for k in keys])
+
+
 def role(fields: Column, keys: tuple[str, ...]) -> Column:
-    """The first of the keys, without regard to case."""
-    lower = F.transform_keys(fields, lambda k, _: F.lower(k))
-    return F.coalesce(*[F.try_element_at(lower, F.lit(k)) for k in keys])
+    return F.try_element_at(fields, role_key(fields, keys))
+
+
+def normalised(line: Column) -> Column:
+    """Lines alike but for ids and numbers: UUIDs where four hyphens are, then no digits."""
+    ids = F.when(F.length(line) - F.length(F.translate(line, "-", "")) >= 4, F.regexp_replace(line, P.UUID, "<uuid>")).otherwise(line)
+    return F.trim(F.translate(ids, "0123456789", ""))
 
 
 def mask(line: Column) -> Column:

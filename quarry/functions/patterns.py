@@ -55,3 +55,6 @@ TIME_HEAD = r"^\[?[\d\-/:T. +]{8,32}\]?"
 #: Classes as wide as Python's, of all scripts.
 WIDE = "(?U)"
 DENSITY_BUCKETS, CONTEXT, TREND_POINTS, NEW_AFTER = 44, 15, 12, 0.03
+#: What the benchmark of root causes calls an error; other words than SIGNAL's.
+BENCH_ERROR = r"(?i)\b(error|fatal|critical|warn|exception|traceback|panic|refused|timeout|timed out|failed|failure|rejected|exceeded|aborted|unavailable|5\d\d)\b"
+LONGEST_LINE = 65_536

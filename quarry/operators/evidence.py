@@ -29,19 +29,37 @@ def sniff(lines: DataFrame) -> str:
     return "json" if one.js >= 3 and one.js / total > 0.6 else "logfmt" if one.lf >= 3 and one.lf / total > 0.6 else "text"
 
 
-def events(lines: DataFrame, kind: str | None = None) -> DataFrame:
-    """Heads of folded events, parsed."""
+def events(lines: DataFrame, kind: str | None = None, year: int = 2000) -> DataFrame:
+    """Heads of folded events, parsed. Lines that know their head already (``head_no``) aren't folded again."""
     kind = kind or sniff(lines)
     inner = lines.withColumn("env", parse.envelope(F.col("raw"))).withColumn("raw", F.col("env.inner")).filter(F.trim("raw") != "")
-    heads = fold(inner).filter("head_no = line_no")
+    heads = (inner if "head_no" in lines.columns else fold(inner)).filter("head_no = line_no")
     empty = F.create_map().cast("map<string,string>")
     fields = {"json": parse.json_fields(F.col("raw")), "logfmt": parse.logfmt_fields(F.col("raw")), "text": empty}[kind]
     out = heads.withColumn("fields", F.coalesce(fields, empty))
-    level = F.coalesce(F.upper(parse.role(F.col("fields"), P.LEVEL_KEYS)), parse.text_level(F.col("raw"))) if kind != "text" else parse.text_level(F.col("raw"))
-    msg = F.coalesce(parse.role(F.col("fields"), P.MESSAGE_KEYS), F.col("raw"))
-    stamp = F.coalesce(parse.role(F.col("fields"), P.TIME_KEYS), F.col("env.ts"), F.col("raw"))
-    roles = P.LEVEL_KEYS + P.MESSAGE_KEYS + P.TIME_KEYS
-    return out.withColumns({"level": level, "msg": msg, "ts": parse.time_value(parse.time_text(stamp))}).withColumn("fields", F.map_filter("fields", lambda k, _: ~F.lower(k).isin(*roles))).drop("env", "head_no")
+    if kind == "text":
+        stamps = [F.col("env.ts"), F.col("raw")]
+        out = out.withColumns({"level": parse.text_level(F.col("raw")), "msg": F.col("raw"), "ts": parse.log_time(stamps, year)})
+        return out.drop("env", "head_no")
+    keys = {name: parse.role_key(F.col("fields"), names) for name, names in (("level_key", P.LEVEL_KEYS), ("msg_key", P.MESSAGE_KEYS), ("ts_key", P.TIME_KEYS))}
+    out = out.withColumns(keys)
+    value = lambda k: F.try_element_at(F.col("fields"), F.col(k))
+    level = F.coalesce(F.upper(value("level_key")), parse.text_level(F.col("raw")))
+    stamps = [F.col("env.ts"), value("ts_key"), F.col("raw")]
+    out = out.withColumns({"level": level, "msg": F.coalesce(value("msg_key"), F.col("raw")), "ts": parse.log_time(stamps, year)})
+    # only the fields that were picked go; others of the same kind stay
+    others = F.map_filter("fields", lambda k, _: F.coalesce(k != F.col("level_key"), F.lit(True)) & F.coalesce(k != F.col("msg_key"), F.lit(True)) & F.coalesce(k != F.col("ts_key"), F.lit(True)))
+    return out.withColumn("fields", others).drop("env", "head_no", *keys)
+
+
+def samples(lines: DataFrame, most: int = 6, size: int = 300) -> DataFrame:
+    """line_no, sample: each event's head with up to ``most`` continuations, cut to ``size``."""
+    folded = (lines if "head_no" in lines.columns else fold(lines)).filter("head_no is not null")
+    rest = F.when((F.col("line_no") > F.col("head_no")) & (F.col("line_no") <= F.col("head_no") + most), F.struct("line_no", F.substring(F.trim("raw"), 1, size).alias("text")))
+    head = F.max(F.when(F.col("line_no") == F.col("head_no"), F.substring("raw", 1, size)))
+    out = folded.groupBy("source", "head_no").agg(head.alias("head"), F.array_sort(F.collect_list(rest)).alias("rest"))
+    joined = F.concat_ws(" | ", F.col("head"), F.transform("rest", lambda x: x["text"]))
+    return out.select("source", F.col("head_no").alias("line_no"), F.substring(joined, 1, size).alias("sample"))
 
 
 def probed(ev: DataFrame) -> DataFrame:
@@ -86,9 +104,8 @@ def rare(tpl: DataFrame, total: int, k: int = 18) -> DataFrame:
 
 
 def pairs(ev: DataFrame, pattern: str, key: Column, fields: bool = True) -> DataFrame:
-    """Fields and regex pairs together, as a bag: line_no, signal, key, value."""
-    found = F.regexp_extract_all("probe", F.lit(pattern), F.lit(0))
-    texts = F.arrays_zip(F.regexp_extract_all("probe", F.lit(pattern), F.lit(1)).alias("key"), F.regexp_extract_all("probe", F.lit(pattern), F.lit(2)).alias("value"))
+    """Fields and regex pairs of the line without its envelope together, as a bag: line_no, signal, key, value."""
+    texts = F.arrays_zip(F.regexp_extract_all("raw", F.lit(pattern), F.lit(1)).alias("key"), F.regexp_extract_all("raw", F.lit(pattern), F.lit(2)).alias("value"))
     both = F.concat(F.transform(F.map_entries("fields"), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))), texts) if fields else texts
     return ev.select("line_no", "signal", F.explode(both).alias("x")).select("line_no", "signal", F.col("x.key").alias("key"), F.col("x.value").alias("value"))
 
@@ -102,17 +119,31 @@ def series(ev: DataFrame) -> DataFrame:
     return out.select("key", "line_no", F.col("value").cast("double").alias("num"))
 
 
+def ordinals(points: DataFrame, run: int = 1 << 16) -> DataFrame:
+    """Add rn, a point's place among its key's, and n, their number. Runs of lines are counted apart, so that a hot key's points come from many tasks."""
+    dealt = points.withColumn("run", F.expr(f"line_no div {run}"))
+    sums = dealt.groupBy("key", "run").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("key").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select("key", "run", before.alias("before"), F.sum("c").over(Window.partitionBy("key")).alias("n"))
+    inside = F.row_number().over(Window.partitionBy("key", "run").orderBy("line_no"))
+    return dealt.withColumn("inside", inside).join(starts, ["key", "run"]).withColumn("rn", F.col("before") + F.col("inside")).drop("run", "inside", "before")
+
+
 def trends(points: DataFrame, k: int = 12) -> DataFrame:
     """Mean of each key's first quarter of points against its last."""
-    order = Window.partitionBy("key").orderBy("line_no")
-    n = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("line_no").alias("first_line"))
-    ranked = points.withColumn("rn", F.row_number().over(order)).join(n, "key").withColumn("q", F.greatest(F.expr("n div 4"), F.lit(1)))
-    means = ranked.filter(f"n >= {P.TREND_POINTS}").groupBy("key", "n", "first_line").agg(F.avg(F.when(F.col("rn") <= F.col("q"), F.col("num"))).alias("head_avg"), F.avg(F.when(F.col("rn") > F.col("n") - F.col("q"), F.col("num"))).alias("tail_avg"))
+    ranked = ordinals(points).filter(f"n >= {P.TREND_POINTS}").withColumn("q", F.greatest(F.expr("n div 4"), F.lit(1)))
+    means = ranked.groupBy("key", "n").agg(F.min("line_no").alias("first_line"), F.avg(F.when(F.col("rn") <= F.col("q"), F.col("num"))).alias("head_avg"), F.avg(F.when(F.col("rn") > F.col("n") - F.col("q"), F.col("num"))).alias("tail_avg"))
     ratio = (F.col("tail_avg") + 1e-9) / (F.col("head_avg") + 1e-9)
     out = means.filter("head_avg <> 0 or tail_avg <> 0").withColumn("ratio", ratio).filter("ratio >= 1.5 or ratio <= 0.66").withColumn("direction", F.when(F.col("ratio") > 1, "GREW").otherwise("DROPPED"))
     return out.orderBy(F.greatest(F.col("ratio"), 1 / F.col("ratio")).desc(), "first_line", "key").limit(k).select("key", "n", "head_avg", "tail_avg", "ratio", "direction")
 
 
+def decimated(points: DataFrame, most: int = 100) -> DataFrame:
+    """Every 2^j-th point of a key, with the least j that leaves at most ``most``."""
+    stride = F.expr(f"cast(pow(2, ceil(greatest(log2(n / {most}), 0))) as bigint)")
+    return ordinals(points).filter((F.col("rn") - 1) % stride == 0).select("key", "line_no", "num")
+
+
 def dim_counts(ev: DataFrame) -> DataFrame:
     """(dim, value) -> all_n, err_n."""
     structured = ev.select("signal", F.explode("fields").alias("key", "value")).filter(~F.col("value").rlike(NUMBER) | F.lower("key").isin(*P.NUMERIC_DIMS)).withColumn("value", F.substring("value", 1, 40))
@@ -129,11 +160,33 @@ def dims(counts: DataFrame, k: int = 5, values: int = 4) -> DataFrame:
     return out.select("dim", "value", "err_n", "all_n", F.bround(100 * F.col("err_n") / F.col("err_t")).alias("err_pct"), F.bround(100 * F.col("all_n") / F.col("all_t")).alias("base_pct"), F.col("value_rank").cast("long").alias("value_rank"))
 
 
-def context(lines: DataFrame, at: int | None, around: int = P.CONTEXT) -> DataFrame:
-    """Raw lines around the onset."""
+def context(lines: DataFrame, at: int | None, around: int = P.CONTEXT, source: str | None = None, before_bytes: int = 4000) -> DataFrame:
+    """Raw lines around the onset, of its source; those before it begin at most ``before_bytes`` back, where lines have offsets."""
     if at is None:
         return lines.limit(0)
-    return lines.filter(F.col("line_no").between(at - around, at + around - 1)).orderBy("line_no")
+    near = lines.filter(F.col("line_no").between(at - around, at + around - 1))
+    if source is not None:
+        near = near.filter(F.col("source") == source)
+    if "byte_off" in lines.columns:
+        onset_at = F.broadcast(near.filter(F.col("line_no") == at).agg(F.max("byte_off").alias("onset_off")))
+        near = near.join(onset_at, F.lit(True)).filter(F.col("byte_off") >= F.col("onset_off") - before_bytes).drop("onset_off")
+    return near.orderBy("line_no")
+
+
+def is_sorted(lines: DataFrame, run: int = 1 << 16) -> DataFrame:
+    """Per source: whether dated lines are in order of time, by runs and the runs' edges; without two dates they are."""
+    dated = lines.filter("ts is not null").withColumn("run", F.expr(f"line_no div {run}"))
+    inside = dated.withColumn("ok", F.coalesce(F.col("ts") >= F.lag("ts").over(Window.partitionBy("source", "run").orderBy("line_no")), F.lit(True)))
+    edges = inside.groupBy("source", "run").agg(F.min_by("ts", "line_no").alias("first"), F.max_by("ts", "line_no").alias("last"), F.bool_and("ok").alias("ok"), F.count(F.lit(1)).alias("n"))
+    joined = edges.withColumn("ok", F.col("ok") & F.coalesce(F.col("first") >= F.lag("last").over(Window.partitionBy("source").orderBy("run")), F.lit(True)))
+    return joined.groupBy("source").agg(F.bool_and("ok").alias("sorted"), F.sum("n").alias("dated"))
+
+
+def change_markers(ev: DataFrame) -> DataFrame:
+    """bucket, marked: density positions that hold a line of a deployment, flag or other change."""
+    marked = ev.filter(F.col("msg").rlike(P.CHANGE)).select("bucket").distinct().withColumn("marked", F.lit(True))
+    spine = ev.sparkSession.range(P.DENSITY_BUCKETS).withColumnRenamed("id", "bucket")
+    return spine.join(F.broadcast(marked), "bucket", "left").select("bucket", F.coalesce("marked", F.lit(False)).alias("marked"))
 
 
 def tail(lines: DataFrame, n: int = 30) -> DataFrame:
@@ -226,16 +279,57 @@ def service_counts(rows: DataFrame) -> DataFrame:
     return c.join(F.broadcast(t), F.lit(True)).select("svc", "all_n", "err_n", "post_n", "post_err_n", ((F.col("err_n") / F.col("e")) / (F.col("all_n") / F.col("a"))).alias("lift"))
 
 
-def upper_median(rows: DataFrame, col: str) -> DataFrame:
-    n = rows.count()
-    return rows.orderBy(col).offset(n // 2).limit(1).select(F.col(col).alias("median"))
+def post_injection(rows: DataFrame, cases: DataFrame, seconds: int = 600) -> DataFrame:
+    """rows(case, svc, ts, msg) with truth, is_error and post: within ``seconds`` of the case's injection. cases(case, truth, inject)."""
+    joined = rows.join(F.broadcast(cases), "case")
+    after = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("inject").cast("timestamp"))
+    return joined.withColumn("is_error", F.col("msg").rlike(P.BENCH_ERROR)).withColumn("post", F.coalesce(after.between(0, seconds * 1_000_000), F.lit(False)))
+
+
+def baselines(rows: DataFrame) -> DataFrame:
+    """Per case of post_injection's rows: the services with most errors, most errors after the injection and the highest lift, and the chance of guessing. Equal ones go by name."""
+    c = rows.groupBy("case", "truth", "svc").agg(F.count(F.lit(1)).alias("all_n"), F.count_if("is_error").alias("err_n"), F.count_if(F.col("is_error") & F.col("post")).alias("post_n"))
+    t = c.groupBy("case").agg(F.sum("all_n").alias("a"), F.sum("err_n").alias("e"))
+    c = c.join(t, "case").withColumn("lift", F.when(F.col("e") > 0, (F.col("err_n") / F.col("e")) / (F.col("all_n") / F.col("a"))).otherwise(F.lit(0.0)))
+    first = lambda x: F.element_at(F.array_sort(F.collect_list(F.struct((-F.col(x)).alias("less"), "svc"))), 1)["svc"]
+    return c.groupBy("case", "truth").agg(first("err_n").alias("by_errors"), first("post_n").alias("by_post_errors"), first("lift").alias("by_lift"), (1 / F.count(F.lit(1))).alias("chance"))
+
+
+def hits(guesses: DataFrame) -> DataFrame:
+    """Cases, how many each baseline gets right, and what guessing is expected to."""
+    right = lambda c: F.count_if(F.col(c) == F.col("truth")).alias(c)
+    return guesses.agg(F.count(F.lit(1)).alias("cases"), right("by_errors"), right("by_post_errors"), right("by_lift"), F.sum("chance").alias("expected"))
+
+
+def sampled_cases(cases: DataFrame, every: int, first: int) -> DataFrame:
+    """Every so many-th case by name, then the first of those."""
+    nth = F.row_number().over(Window.orderBy("case")) - 1  # a row a case
+    return cases.withColumn("nth", nth).filter(F.col("nth") % every == 0).orderBy("case").limit(first).drop("nth")
+
+
+def sweep(lines: DataFrame, ev: DataFrame, tpl: DataFrame, first: int = 5000) -> DataFrame:
+    """One row on a corpus: lines, share of the first lines with a time, templates and compression, rare templates."""
+    head = lines.filter(F.trim("raw") != "").orderBy("line_no").limit(first).agg((100.0 * F.count_if(parse.is_dated(F.col("raw"))) / F.count(F.lit(1))).alias("ts_pct"))
+    total = ev.agg(F.count(F.lit(1)).alias("lines"))
+    kinds = tpl.agg(F.count(F.lit(1)).alias("templates"), F.count_if("cnt <= 3").alias("rare"))
+    return total.join(kinds, F.lit(True)).join(head, F.lit(True)).withColumn("compression", F.col("lines") / F.greatest("templates", F.lit(1)))
+
+
+def upper_median(rows: DataFrame, col: str, buckets: int = 4096) -> DataFrame:
+    """The value at place n div 2. Counts in even steps of value find its step; only that step's values are counted one by one."""
+    span = F.broadcast(rows.filter(F.col(col).isNotNull()).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), (F.expr(f"count({col}) div 2")).alias("skip")))
+    step = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)).otherwise(F.lit(0))
+    dealt = rows.filter(F.col(col).isNotNull()).join(span, F.lit(True)).withColumn("step", step)
+    upto = lambda by: F.sum("c").over(Window.orderBy(by))  # noqa: E731  at most ``buckets`` rows, or the distinct values of one step
+    steps = dealt.groupBy("step", "skip").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto("step"))
+    there = steps.filter("skip < upto and skip >= upto - c").select(F.col("step").alias("s"), (F.col("skip") - F.col("upto") + F.col("c")).alias("left"))
+    values = dealt.join(F.broadcast(there), F.col("step") == F.col("s")).groupBy(col, "left").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto(col))
+    return values.filter("left < upto and left >= upto - c").select(F.col(col).alias("median"))
 
 
 def sparkline(points: DataFrame, width: int = 24) -> DataFrame:
     """(key, b, level 0..7): points resampled to a fixed width; buckets overlap where points are few."""
-    order = Window.partitionBy("key").orderBy("line_no")
-    n = points.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    ranked = points.withColumn("i", F.row_number().over(order) - 1).join(n, "key")
+    ranked = ordinals(points).withColumn("i", F.col("rn") - 1)
     lo, hi = "(b * n) div {w}".format(w=width), "greatest((b * n) div {w} + 1, ((b + 1) * n) div {w})".format(w=width)
     first = f"greatest(0, (i * {width}) div n - 1)"
     last = f"least({width - 1}, ((i + 1) * {width}) div n + 1)"

@@ -159,11 +159,7 @@ def mined(spark, sf_dir):
 
 def decimated(spark, sf_dir):
     """A21 with a stride that brings each key to 100 points at most."""
-    s = series(spark, sf_dir)
-    w = Window.partitionBy("key")
-    n = s.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    ranked = s.join(n, "key").withColumn("rn", F.row_number().over(w.orderBy("line_no")) - 1)
-    return ranked.filter(F.expr("rn % cast(pow(2, ceil(greatest(log2(n / 100), 0))) as bigint) = 0")).select("key", "line_no", "num")
+    return E.decimated(series(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (templates, density, totals, onset, patterns, rare, series, trends, dim_counts, dims, window_slice, first_last, merge, fold, tail, shapes, vocabulary, health, redacted, sparkline, services, median_latency, accuracy, mined, decimated)}
