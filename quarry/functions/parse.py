@@ -161,6 +161,11 @@ def masked_key(toks: Column) -> Column:
     return F.array_join(F.transform(toks, lambda t: F.when(t.rlike(r"\d"), F.lit("<*>")).otherwise(t)), " ")
 
 
+def template(line: Column) -> Column:
+    """The masked key of a line's tokens, without making the tokens."""
+    return F.regexp_replace(F.regexp_replace(F.trim(mask(line)), P.SEPARATORS, " "), P.DIGIT_TOKEN, "<*>")
+
+
 def shape(line: Column) -> Column:
     """Skeleton of the first 80 characters; no letter of any script stays."""
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.substring(line, 1, 80), r"\p{L}+", "A"), r"\d+", "9"), r"\s+", " ")

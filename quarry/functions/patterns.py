@@ -38,6 +38,7 @@ MASKS = (
     r"\b\d{1,2}:\d{2}:\d{2}(?:[.,]\d+)?\b",
 )
 SEPARATORS = r"[\s|,;=]+"
+DIGIT_TOKEN = r"(?<![^ ])[^ \d]*+\d[^ ]*+"
 WORD = r"[A-Za-z][A-Za-z0-9_.\-]{2,}"
 KEEP_WORDS = (
     "error", "warn", "warning", "info", "debug", "fatal", "critical", "trace", "exception", "timeout", "failed", "failure", "refused", "connection", "pool",

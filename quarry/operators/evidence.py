@@ -71,7 +71,7 @@ def probed(ev: DataFrame) -> DataFrame:
 
 def templates(ev: DataFrame, template: Column | None = None) -> DataFrame:
     """template -> cnt, first_off, first_frac, sample, sample_signal, sample_change."""
-    keyed = ev.withColumn("template", template if template is not None else parse.masked_key(parse.tokens(F.col("probe"))))
+    keyed = ev.withColumn("template", template if template is not None else parse.template(F.col("probe")))
     out = keyed.groupBy("template").agg(F.count(F.lit(1)).alias("cnt"), F.min("byte_off").alias("first_off"), F.min("frac").alias("first_frac"), F.substring(F.min_by("msg", "byte_off"), 1, 300).alias("sample"))
     return out.withColumn("sample_signal", F.lower("sample").rlike(P.SIGNAL)).withColumn("sample_change", F.col("sample").rlike(P.CHANGE))
 
@@ -92,10 +92,11 @@ def patterns(tpl: DataFrame, k: int = 18) -> DataFrame:
     return tpl.filter("sample_signal").orderBy(F.col("cnt").desc(), "first_off").limit(k).select("template", "cnt", "first_frac", (F.col("first_frac") > P.NEW_AFTER).alias("is_new"))
 
 
-def rare(tpl: DataFrame, total: int, k: int = 18) -> DataFrame:
+def rare(tpl: DataFrame, k: int = 18) -> DataFrame:
     """Near-unique events, scored by rarity, nearness before the onset, change words and signal words."""
-    at = F.broadcast(onset(tpl).select(F.col("first_frac").alias("onset")))
-    few = tpl.filter((F.col("cnt") <= max(3, int(total * 0.002))) & (F.col("sample") != "")).join(at, F.lit(True), "left")
+    new = (F.col("first_frac") > P.NEW_AFTER) & F.col("sample_signal")
+    about = tpl.agg(F.sum("cnt").alias("total"), F.min(F.when(new, F.struct("first_off", "first_frac")))["first_frac"].alias("onset"))
+    few = tpl.join(F.broadcast(about), F.lit(True)).filter((F.col("cnt") <= F.greatest(F.lit(3), F.floor(F.col("total") * 0.002))) & (F.col("sample") != ""))
     gap = F.col("onset") - F.col("first_frac")
     near = F.when((gap >= 0) & (gap < 0.35), 3 * (1 - gap / 0.35)).when(gap < 0, F.lit(0.4)).otherwise(F.lit(0.0))
     score = 3 / (F.col("cnt") + 1) + near + F.when(F.col("sample_change"), 1.5).otherwise(0.0) - F.when(F.col("sample_signal"), 0.8).otherwise(0.0)
@@ -280,19 +281,19 @@ def service_counts(rows: DataFrame) -> DataFrame:
 
 
 def post_injection(rows: DataFrame, cases: DataFrame, seconds: int = 600) -> DataFrame:
-    """rows(case, svc, ts, msg) with truth, is_error and post: within ``seconds`` of the case's injection. cases(case, truth, inject)."""
-    joined = rows.join(F.broadcast(cases), "case")
+    """rows(case_id, svc, ts, msg) with truth, is_error and post: within ``seconds`` of the case's injection. cases(case_id, truth, inject)."""
+    joined = rows.join(F.broadcast(cases), "case_id")
     after = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("inject").cast("timestamp"))
     return joined.withColumn("is_error", F.col("msg").rlike(P.BENCH_ERROR)).withColumn("post", F.coalesce(after.between(0, seconds * 1_000_000), F.lit(False)))
 
 
 def baselines(rows: DataFrame) -> DataFrame:
     """Per case of post_injection's rows: the services with most errors, most errors after the injection and the highest lift, and the chance of guessing. Equal ones go by name."""
-    c = rows.groupBy("case", "truth", "svc").agg(F.count(F.lit(1)).alias("all_n"), F.count_if("is_error").alias("err_n"), F.count_if(F.col("is_error") & F.col("post")).alias("post_n"))
-    t = c.groupBy("case").agg(F.sum("all_n").alias("a"), F.sum("err_n").alias("e"))
-    c = c.join(t, "case").withColumn("lift", F.when(F.col("e") > 0, (F.col("err_n") / F.col("e")) / (F.col("all_n") / F.col("a"))).otherwise(F.lit(0.0)))
+    c = rows.groupBy("case_id", "truth", "svc").agg(F.count(F.lit(1)).alias("all_n"), F.count_if("is_error").alias("err_n"), F.count_if(F.col("is_error") & F.col("post")).alias("post_n"))
+    t = c.groupBy("case_id").agg(F.sum("all_n").alias("a"), F.sum("err_n").alias("e"))
+    c = c.join(t, "case_id").withColumn("lift", F.when(F.col("e") > 0, (F.col("err_n") / F.col("e")) / (F.col("all_n") / F.col("a"))).otherwise(F.lit(0.0)))
     first = lambda x: F.element_at(F.array_sort(F.collect_list(F.struct((-F.col(x)).alias("less"), "svc"))), 1)["svc"]
-    return c.groupBy("case", "truth").agg(first("err_n").alias("by_errors"), first("post_n").alias("by_post_errors"), first("lift").alias("by_lift"), (1 / F.count(F.lit(1))).alias("chance"))
+    return c.groupBy("case_id", "truth").agg(first("err_n").alias("by_errors"), first("post_n").alias("by_post_errors"), first("lift").alias("by_lift"), (1 / F.count(F.lit(1))).alias("chance"))
 
 
 def hits(guesses: DataFrame) -> DataFrame:
@@ -303,28 +304,29 @@ def hits(guesses: DataFrame) -> DataFrame:
 
 def sampled_cases(cases: DataFrame, every: int, first: int) -> DataFrame:
     """Every so many-th case by name, then the first of those."""
-    nth = F.row_number().over(Window.orderBy("case")) - 1  # a row a case
-    return cases.withColumn("nth", nth).filter(F.col("nth") % every == 0).orderBy("case").limit(first).drop("nth")
+    nth = F.row_number().over(Window.orderBy("case_id")) - 1  # a row a case
+    return cases.withColumn("nth", nth).filter(F.col("nth") % every == 0).orderBy("case_id").limit(first).drop("nth")
 
 
 def sweep(lines: DataFrame, ev: DataFrame, tpl: DataFrame, first: int = 5000) -> DataFrame:
     """One row on a corpus: lines, share of the first lines with a time, templates and compression, rare templates."""
     head = lines.filter(F.trim("raw") != "").orderBy("line_no").limit(first).agg((100.0 * F.count_if(parse.is_dated(F.col("raw"))) / F.count(F.lit(1))).alias("ts_pct"))
     total = ev.agg(F.count(F.lit(1)).alias("lines"))
-    kinds = tpl.agg(F.count(F.lit(1)).alias("templates"), F.count_if("cnt <= 3").alias("rare"))
+    kinds = tpl.agg(F.count(F.lit(1)).alias("templates"), F.count_if(F.col("cnt") <= 3).alias("rare"))
     return total.join(kinds, F.lit(True)).join(head, F.lit(True)).withColumn("compression", F.col("lines") / F.greatest("templates", F.lit(1)))
 
 
 def upper_median(rows: DataFrame, col: str, buckets: int = 4096) -> DataFrame:
-    """The value at place n div 2. Counts in even steps of value find its step; only that step's values are counted one by one."""
-    span = F.broadcast(rows.filter(F.col(col).isNotNull()).agg(F.min(col).alias("lo"), F.max(col).alias("hi"), (F.expr(f"count({col}) div 2")).alias("skip")))
-    step = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(col) - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)).otherwise(F.lit(0))
-    dealt = rows.filter(F.col(col).isNotNull()).join(span, F.lit(True)).withColumn("step", step)
+    """The value at place n div 2. Values are counted once; counts in even steps of value find the step that holds it, and only that step's values are put in order."""
+    hist = rows.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    span = F.broadcast(hist.agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.expr("sum(c) div 2").alias("skip")))
+    step = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * buckets)).otherwise(F.lit(0))
+    dealt = hist.join(span, F.lit(True)).withColumn("step", step)
     upto = lambda by: F.sum("c").over(Window.orderBy(by))  # noqa: E731  at most ``buckets`` rows, or the distinct values of one step
-    steps = dealt.groupBy("step", "skip").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto("step"))
+    steps = dealt.groupBy("step", "skip").agg(F.sum("c").alias("c")).withColumn("upto", upto("step"))
     there = steps.filter("skip < upto and skip >= upto - c").select(F.col("step").alias("s"), (F.col("skip") - F.col("upto") + F.col("c")).alias("left"))
-    values = dealt.join(F.broadcast(there), F.col("step") == F.col("s")).groupBy(col, "left").agg(F.count(F.lit(1)).alias("c")).withColumn("upto", upto(col))
-    return values.filter("left < upto and left >= upto - c").select(F.col(col).alias("median"))
+    values = dealt.join(F.broadcast(there), F.col("step") == F.col("s")).withColumn("upto", upto("v"))
+    return values.filter("left < upto and left >= upto - c").select(F.col("v").alias("median"))
 
 
 def sparkline(points: DataFrame, width: int = 24) -> DataFrame:

@@ -17,7 +17,7 @@ _TEXT = "' ', {level}, ' web-', {u}, ' op=', event_type, ' latency=', {lat}, 'ms
 
 def _line(stamp: str, text: str) -> str:
     n = lambda x: f"cast({x} as {text})"
-    body = _TEXT.format(level=LEVEL, u=n("user_id % 7"), lat=n("(event_id % 50) + case when event_id > 500 then event_id % 400 else 0 end"), shard=n("user_id % 5"), id=n("event_id"), tail=_TAIL)
+    body = _TEXT.format(level=LEVEL, u=n("user_id % 7"), lat=n("(event_id % 50) + case when event_id > 500 then event_id % 400 else 0 end + cast((event_id - event_id % 40) / 40 as bigint)"), shard=n("user_id % 5"), id=n("event_id"), tail=_TAIL)
     return f"concat({stamp}, {body})"
 
 
@@ -71,8 +71,7 @@ def patterns(spark, sf_dir):
 
 
 def rare(spark, sf_dir):
-    ev = events(spark, sf_dir)
-    return E.rare(E.templates(ev), ev.count()).select("template", "cnt", F.bround("score", 6).alias("score"), "relation")
+    return E.rare(E.templates(events(spark, sf_dir))).select("template", "cnt", F.bround("score", 6).alias("score"), "relation")
 
 
 def series(spark, sf_dir):
@@ -147,7 +146,7 @@ def median_latency(spark, sf_dir):
 
 def accuracy(spark, sf_dir):
     """Templates against the event's own type."""
-    ev = events(spark, sf_dir).withColumn("truth", parse.matched(F.col("raw"), "op=([a-z]+)", 1)).withColumn("predicted", parse.masked_key(parse.tokens(F.col("probe"))))
+    ev = events(spark, sf_dir).withColumn("truth", parse.matched(F.col("raw"), "op=([a-z]+)", 1)).withColumn("predicted", parse.template(F.col("probe")))
     return E.grouping_accuracy(ev.select("predicted", "truth"))
 
 
@@ -190,7 +189,7 @@ case when gap >= 0 then 'before' when gap < 0 then 'after' end as relation from
     "tail": PRE + "select line_no, raw from l order by line_no desc limit 30",
     "shapes": PRE + r"select regexp_replace(regexp_replace(regexp_replace(substring(raw, 1, 80), '\p{L}+', 'A', 'g'), '\d+', '9', 'g'), '\s+', ' ', 'g') as shape, count(*) as n from l group by 1 order by n desc, shape limit 5",
     "vocabulary": PRE + r"select word from (select lower(unnest(regexp_extract_all(raw, '[A-Za-z][A-Za-z0-9_.\-]{2,}'))) as word from l) group by word having count(*) >= 20 union select unnest(['error','warn','warning','info','debug','fatal','critical','trace','exception','timeout','failed','failure','refused','connection','pool','true','false','null','none','and','the','for','with','from','not'])",
-    "health": PRE + "select count(*) as lines, 100.0::double * count(ts) / count(*) as ts_pct, 100.0::double * count(level) / count(*) as level_pct from (select * from p order by line_no limit 20000)",
+    "health": PRE + "select count(*) as lines, 100.0::double * count(ts) / count(*) as ts_pct, 100.0::double * count(level) / count(*) as level_pct from p",
     "services": PRE + r", c as (select regexp_extract(raw, 'web-\d') as svc, count(*) as all_n, count(*) filter (where level = 'ERROR') as err_n, count(*) filter (where line_no > 900) as post_n, count(*) filter (where line_no > 900 and level = 'ERROR') as post_err_n from p group by 1) select *, round_even((err_n / (sum(err_n) over ())) / (all_n / (sum(all_n) over ())), 6) as lift from c",
     "median_latency": PRE + f"select num as median from {_SERIES} where key = 'latency' order by num limit 1 offset (select count(*) // 2 from {_SERIES} where key = 'latency')",
     "accuracy": PRE + r", q as (select template as predicted, regexp_extract(raw, 'op=([a-z]+)', 1) as truth from m), a as (select predicted, count(distinct truth) as k, min(truth) as truth, count(*) as n from q group by 1), b as (select truth, count(*) as n from q group by 1) select sum(case when k = 1 and a.n = b.n then a.n else 0 end)::double / sum(a.n)::double as accuracy from a join b using (truth)",

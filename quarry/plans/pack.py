@@ -31,7 +31,7 @@ def pack(lines: DataFrame, last: str | None = None, since=None, until=None) -> d
     rows = lambda df: [r.asDict() for r in df.collect()]
     out = {
         "format": kind, "total_lines": total, "signal_lines": signals, "templates": tpl.count(),
-        "patterns": rows(E.patterns(tpl)), "rare": rows(E.rare(tpl, total)), "trends": rows(E.trends(series)),
+        "patterns": rows(E.patterns(tpl)), "rare": rows(E.rare(tpl)), "trends": rows(E.trends(series)),
         "dims": rows(E.dims(E.dim_counts(ev))), "density": [r.n for r in E.density(ev).orderBy("bucket").collect()], "onset": first[0].asDict() if first else None,
         "context": [r.raw for r in E.context(lines, at).collect()], "tail": [r.raw for r in reversed(E.tail(lines).collect())],
     }

@@ -14,12 +14,12 @@ import __spark_entry__ as entry
 from quarry.functions import parse, patterns
 from quarry.operators import evidence as E
 from quarry.operators import mining
-from quarry.plans import evidence, pack
+from quarry.plans import evidence, forms, pack
 from quarry.sources import logs
 from quarry.streaming import watch
 
 SF = "/root/testdata/sf0.001"
-NAMES = sorted(evidence.ORACLE_SQL)
+NAMES = sorted(evidence.ORACLE_SQL | forms.ORACLE_SQL)
 
 
 @pytest.fixture(scope="module")
@@ -40,8 +40,8 @@ def test_matches_sql(spark, duck, name):
 
 
 def test_queries_without_sql(spark):
-    for name in set(evidence.QUERIES) - set(evidence.ORACLE_SQL):
-        assert evidence.QUERIES[name](spark, SF).count() > 0, name
+    for name in set(evidence.QUERIES | forms.QUERIES) - set(NAMES):
+        assert (evidence.QUERIES | forms.QUERIES)[name](spark, SF).count() > 0, name
     assert entry.entry(spark).count() > 0
 
 
