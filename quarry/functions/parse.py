@@ -103,31 +103,46 @@ def text_level(line: Column) -> Column:
     return matched(F.substring(line, 1, 120), P.LEVEL, 1)
 
 
+def last_of_each(pairs: Column) -> Column:
+    """map of (key, value) pairs; the last of equal keys wins."""
+    later = lambda p, x, i: F.exists(F.slice(p, i + 2, F.greatest(F.size(p), F.lit(1))), lambda y: y["key"] == x["key"])
+    return once(pairs, lambda p: F.map_from_entries(F.filter(p, lambda x, i: ~later(p, x, i))))
+
+
 def logfmt_fields(line: Column) -> Column:
     """map of pairs; quotes go, the last of equal keys wins."""
     whole = F.regexp_extract_all(line, F.lit(P.LOGFMT_PAIR), F.lit(0))
-    pairs = F.transform(whole, lambda x: F.struct(F.regexp_extract(x, r"^([^=]*)=", 1).alias("key"), F.regexp_replace(F.regexp_extract(x, r"^[^=]*=(.*)$", 1), r'^"(.*)"$', "$1").alias("value")))
-    last = F.filter(pairs, lambda x, i: ~F.exists(F.slice(pairs, i + 2, F.greatest(F.size(pairs), F.lit(1))), lambda y: y["key"] == x["key"]))
-    return F.map_from_entries(last)
+
+    def pair(x: Column) -> Column:
+        at = F.locate("=", x)
+        value = F.substring(x, at + 1, F.length(x))
+        return F.struct(F.substring(x, F.lit(1), at - 1).alias("key"), F.when(value.startswith('"') & value.endswith('"') & (F.length(value) > 1), F.substring(value, F.lit(2), F.length(value) - 2)).otherwise(value).alias("value"))
+
+    return last_of_each(F.transform(whole, pair))
 
 
 def json_fields(line: Column, levels: int = 4) -> Column:
     """Dotted scalar map of an object: arrays go, null is 'None', booleans are capitalised; null if not an object."""
-    def entries(v: Column, prefix: Column, depth: int) -> Column:
-        items = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+    empty = F.array().cast("array<struct<key:string,value:string>>")
 
+    def entries(v: Column, prefix: Column, depth: int) -> Column:
         def one(x: Column) -> Column:
-            kind = F.schema_of_variant(x["value"])
             name = F.concat(prefix, x["key"])
-            text = F.when(kind == "VOID", F.lit("None")).when(kind == "BOOLEAN", F.initcap(F.try_variant_get(x["value"], "$", "string"))).otherwise(F.try_variant_get(x["value"], "$", "string"))
-            scalar = F.array(F.struct(name.alias("key"), text.alias("value")))
-            empty = F.array().cast("array<struct<key:string,value:string>>")
-            deeper = entries(x["value"], F.concat(name, F.lit(".")), depth - 1) if depth > 1 else empty
-            return F.when(kind.startswith("OBJECT"), deeper).when(kind.startswith("ARRAY"), empty).otherwise(scalar)
 
-        return F.flatten(F.transform(items, one))
+            def by_kind(kind: Column) -> Column:
+                scalar = lambda text: F.array(F.struct(name.alias("key"), text.alias("value")))
+                text = F.try_variant_get(x["value"], "$", "string")
+                deeper = entries(x["value"], F.concat(name, F.lit(".")), depth - 1) if depth > 1 else empty
+                return (
+                    F.when(kind.startswith("OBJECT"), deeper).when(kind.startswith("ARRAY"), empty).when(kind == "VOID", scalar(F.lit("None")))
+                    .when(kind == "BOOLEAN", scalar(F.initcap(text))).otherwise(scalar(text))
+                )
+
+            return once(F.schema_of_variant(x["value"]), by_kind)
+
+        return F.flatten(F.transform(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), one))
 
-    return F.map_from_entries(entries(F.try_parse_json(line), F.lit(""), levels))
+    return last_of_each(once(F.try_parse_json(line), lambda v: entries(v, F.lit(""), levels)))
 
 
 def role_key(fields: Column, keys: tuple[str, ...]) -> Column:

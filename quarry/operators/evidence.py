@@ -35,21 +35,25 @@ def events(lines: DataFrame, kind: str | None = None, year: int = 2000) -> DataF
     inner = lines.withColumn("env", parse.envelope(F.col("raw"))).withColumn("raw", F.col("env.inner")).filter(F.trim("raw") != "")
     heads = (inner if "head_no" in lines.columns else fold(inner)).filter("head_no = line_no")
     empty = F.create_map().cast("map<string,string>")
-    fields = {"json": parse.json_fields(F.col("raw")), "logfmt": parse.logfmt_fields(F.col("raw")), "text": empty}[kind]
-    out = heads.withColumn("fields", F.coalesce(fields, empty))
     if kind == "text":
         stamps = [F.col("env.ts"), F.col("raw")]
-        out = out.withColumns({"level": parse.text_level(F.col("raw")), "msg": F.col("raw"), "ts": parse.log_time(stamps, year)})
-        return out.drop("env", "head_no")
-    keys = {name: parse.role_key(F.col("fields"), names) for name, names in (("level_key", P.LEVEL_KEYS), ("msg_key", P.MESSAGE_KEYS), ("ts_key", P.TIME_KEYS))}
-    out = out.withColumns(keys)
-    value = lambda k: F.try_element_at(F.col("fields"), F.col(k))
-    level = F.coalesce(F.upper(value("level_key")), parse.text_level(F.col("raw")))
-    stamps = [F.col("env.ts"), value("ts_key"), F.col("raw")]
-    out = out.withColumns({"level": level, "msg": F.coalesce(value("msg_key"), F.col("raw")), "ts": parse.log_time(stamps, year)})
-    # only the fields that were picked go; others of the same kind stay
-    others = F.map_filter("fields", lambda k, _: F.coalesce(k != F.col("level_key"), F.lit(True)) & F.coalesce(k != F.col("msg_key"), F.lit(True)) & F.coalesce(k != F.col("ts_key"), F.lit(True)))
-    return out.withColumn("fields", others).drop("env", "head_no", *keys)
+        return heads.withColumns({"fields": empty, "level": parse.text_level(F.col("raw")), "msg": F.col("raw"), "ts": parse.log_time(stamps, year)}).drop("env", "head_no")
+    fields = {"json": parse.json_fields, "logfmt": parse.logfmt_fields}[kind](F.col("raw"))
+
+    def picked(f: Column) -> Column:
+        return F.struct(f.alias("all"), *[parse.role_key(f, names).alias(name) for name, names in (("level", P.LEVEL_KEYS), ("msg", P.MESSAGE_KEYS), ("ts", P.TIME_KEYS))])
+
+    def split(k: Column) -> Column:
+        # only the fields that were picked go; others of the same kind stay
+        other = lambda name: ~F.coalesce(name == k["level"], F.lit(False)) & ~F.coalesce(name == k["msg"], F.lit(False)) & ~F.coalesce(name == k["ts"], F.lit(False))
+        roles = [F.try_element_at(k["all"], k[r]).alias(r) for r in ("level", "msg", "ts")]
+        return F.struct(F.map_filter(k["all"], lambda name, _: other(name)).alias("fields"), *roles)
+
+    out = heads.withColumn("parsed", parse.once(F.coalesce(fields, empty), lambda f: parse.once(picked(f), split)))
+    level = F.coalesce(F.upper(F.col("parsed.level")), parse.text_level(F.col("raw")))
+    stamps = [F.col("env.ts"), F.col("parsed.ts"), F.col("raw")]
+    out = out.withColumns({"fields": F.col("parsed.fields"), "level": level, "msg": F.coalesce("parsed.msg", "raw"), "ts": parse.log_time(stamps, year)})
+    return out.drop("env", "head_no", "parsed")
 
 
 def samples(lines: DataFrame, most: int = 6, size: int = 300) -> DataFrame:
