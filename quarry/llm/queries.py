@@ -66,8 +66,17 @@ grams as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as win
           from (select doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) as i from d, sizes where len(w) >= n)),
 found as (select doc_id, i, n, item_id from grams join wins using (win, n)),
 places as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(generate_series(i, i + n - 1)) as p from (select distinct doc_id, i, n from found)) group by doc_id),
-items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from found group by doc_id)
+items as (select doc_id, count(distinct item_id) as n_items, string_agg(distinct item_id, ',' order by item_id) as ids from found group by doc_id),
+tokens as (select doc_id, unnest(w) as term, generate_subscripts(w, 1) - 1 as pos from d),
+freqs as (select term, count(*) as freq from tokens group by term),
+lists as (select distinct string_split(win, ' ') as ws, win from wins),
+parts as (select win, ws, unnest(ws) as term, generate_subscripts(ws, 1) - 1 as place from lists),
+rarest as (select * from (select p.*, row_number() over (partition by win order by coalesce(freq, 0), place) as nth from parts p left join freqs using (term)) where nth <= 2),
+cand as (select distinct doc_id, win, ws, pos - place - s as o from rarest join tokens using (term), (values (0), (1)) as t(s)),
+near as (select doc_id, win from cand join d using (doc_id)
+         where len(list_filter(range(len(ws)), lambda j: (o + j >= 0 and w[o + j + 1] = ws[j + 1]) or (o + j + 1 >= 0 and w[o + j + 2] = ws[j + 1]))) >= case when len(ws) < 10 then len(ws) else 9 end),
+near_items as (select doc_id, count(distinct item_id) as n_near from (select distinct doc_id, win from near) join wins using (win) group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
-       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
-from d left join places using (doc_id) left join items using (doc_id)""",
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated, coalesce(n_near, 0)::bigint as n_near_items
+from d left join places using (doc_id) left join items using (doc_id) left join near_items using (doc_id)""",
 }
