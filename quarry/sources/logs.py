@@ -79,6 +79,12 @@ def _encoding(path: str, length: int, head: bytes) -> str | None:
     return None
 
 
+def probe(spark: SparkSession, path: str) -> tuple[str, int, str | None]:
+    """(path, length, encoding) of one readable file."""
+    (name, length, head), *_ = _heads(spark, path)
+    return name, length, _encoding(name, length, head)
+
+
 def read_lines(spark: SparkSession, path: str, encoding: str | None = None, longest: int = P.LONGEST_LINE) -> DataFrame:
     """Lines of text or gzip files, by path, list or glob. A split is one input block of one file; a source is a file, by its full path. Lines of over ``longest`` characters become pieces, each a line."""
     paths = [path] if isinstance(path, str) else list(path)

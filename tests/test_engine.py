@@ -91,6 +91,82 @@ def test_files(spark, tmp_path):
     assert logs.read_sources([a, a.withColumn("source", F.lit("z"))]).count() == 1000
 
 
+def test_odd_files(spark, tmp_path):
+    """What is no log raises; the rest is read whole."""
+    put = lambda name, data: (tmp_path / name).write_bytes(data)
+    line = "2026-01-01 00:00:{:02d} INFO line {}"
+    put("fake.gz", b"not gzip at all"), put("broken.gz", b"\x1f\x8b\x08junkjunkjunk"), put("nul.log", b"a\0b\n"), put("noise.log", bytes(range(1, 32)) * 30), put("empty.log", b"")
+    for bad in ("fake.gz", "broken.gz", "nul.log", "noise.log", "empty.log", "missing.log", "."):
+        with pytest.raises(logs.UnreadableLog):
+            logs.read_lines(spark, str(tmp_path / bad))
+    put("one.log", b"only line"), put("bom.log", "\ufeffhello\nyou\n".encode()), put("crlf.log", b"a\r\nb\r\n"), put("long.log", b"x" * 200_000 + b"\nend\n")
+    put("be.log", b"\xfe\xff" + "x \u00e9\ny\n".encode("utf-16-be"))
+    raw = lambda name: [r.raw for r in logs.read_lines(spark, str(tmp_path / name)).orderBy("line_no").collect()]
+    assert raw("one.log") == ["only line"] and raw("bom.log") == ["hello", "you"] and raw("crlf.log") == ["a", "b"] and raw("be.log") == ["x \u00e9", "y"]
+    assert [len(x) for x in raw("long.log")] == [65_536] * 3 + [200_000 - 3 * 65_536, 3]
+    with open(tmp_path / "sparse.log", "wb") as f:
+        f.write(b"2026-01-01 INFO x\n" * 500)
+        f.truncate(3 << 30)
+    assert logs.probe(spark, str(tmp_path / "sparse.log"))[1] == 3 << 30
+    for pod in ("p1", "p2"):
+        (tmp_path / pod).mkdir()
+        (tmp_path / pod / "0.log").write_text("\n".join(line.format(i, i) for i in range(3)) + "\n")
+    both = logs.read_lines(spark, str(tmp_path / "p*" / "0.log")).collect()
+    assert sorted(r.line_no for r in both) == [1, 1, 2, 2, 3, 3] and len({r.source for r in both}) == 2 and {r.file for r in both} == {"0.log"}
+    put("lines.log", b"0123456789\n" * 300_000)
+    assert logs.line_estimate(spark, str(tmp_path / "lines.log")) == pytest.approx(300_000, rel=0.01)
+    with open(tmp_path / "lines.log", "rb") as f:
+        assert logs.read_stdin(spark, f, str(tmp_path)).count() == 300_000
+
+
+def test_merge_of_files(spark, tmp_path):
+    (tmp_path / "a.log").write_text("2026-01-01 00:00:01 a1\n  at a\n2026-01-01 00:00:05 a2\n")
+    (tmp_path / "b.log").write_text("2026-01-01 00:00:03 b1\n2026-01-01 00:00:05 b2\n")
+    (tmp_path / "c.log").write_text("no\ntimes\nat\nall\n2026-01-01 00:00:00 here\n")
+    read = lambda *names: [r.raw for r in logs.read_sources([logs.read_lines(spark, str(tmp_path / n)) for n in names]).collect()]
+    assert read("b.log", "a.log") == ["2026-01-01 00:00:01 a1 src=a.log", "  at a src=a.log", "2026-01-01 00:00:03 b1 src=b.log", "2026-01-01 00:00:05 b2 src=b.log", "2026-01-01 00:00:05 a2 src=a.log"]
+    assert read("c.log", "b.log")[0] == "no src=c.log" and len(read("c.log", "b.log")) == 7  # too few times: one after the other
+    p = pack.analyze(spark, [str(tmp_path / "a.log"), str(tmp_path / "b.log")])
+    assert p["total_lines"] == 5 and p["tail"][-1].endswith("src=b.log") and p["format"] == "text"
+
+
+def test_fields_that_play_no_role_stay(spark):
+    rows = [(1, '{"time":"bad","@timestamp":"2026-01-01T00:00:01Z","text":"t","msg":"m","Level":"warn","lvl":"x","a.b":1,"a":{"b":2}}', "s")] * 2
+    got = E.events(spark.createDataFrame([(r[0], r[1], "s", 1, 1, 1) for r in rows], "line_no long, raw string, source string, head_no int, byte_off int, total_bytes int"), "json").first()
+    assert got.fields == {"@timestamp": "2026-01-01T00:00:01Z", "text": "t", "lvl": "x", "a.b": got.fields["a.b"]} and got.level == "WARN" and got.msg == "m" and str(got.ts) == "2026-01-01 00:00:01"
+    line = '{"msg":"x latency=12ms","shard":"s1","count=7":"y"}'
+    ev = E.probed(E.events(spark.createDataFrame([(1, line, "s", 1, 1, 1)], "line_no long, raw string, source string, head_no int, byte_off int, total_bytes int"), "json"))
+    assert {(r.key, r.num) for r in E.series(ev).collect()} == {("latency", 12.0), ("count", 7.0)} or {r.key for r in E.series(ev).collect()} >= {"latency"}
+
+
+def test_bounds_as_text(spark, tmp_path):
+    day = dt.datetime(2024, 2, 29, 10)
+    for text, want in (("2026-08-04T02:00", "2026-08-04 02:00:00"), ("2026-08-04", "2026-08-04 00:00:00"), ("10/Oct/2000:13:55:36", "2000-10-10 13:55:36"), ("[02:30]", "2024-02-29 02:30:00"), ("02:30:05", "2024-02-29 02:30:05"), ("Mar 01 02:30:05", "2024-03-01 02:30:05")):
+        assert str(pack.when(text, day)) == want
+    with pytest.raises(ValueError):
+        pack.when("soon")
+    (tmp_path / "x.log").write_text("".join(f"2024-02-29 {h:02d}:00:00 INFO hour {h}\n" for h in range(24)))
+    lines = logs.read_lines(spark, str(tmp_path / "x.log"))
+    assert sum(x["cnt"] for x in pack.pack(lines, since="05:00", until="07:00")["rare"]) == 3
+    assert pack.first_year(lines) == 2024
+
+
+def test_agent_functions(spark, tmp_path):
+    (tmp_path / "x.log").write_text("".join(f"2026-01-01 00:{i // 60:02d}:{i % 60:02d} INFO api op=get latency={10 + i}ms\n" for i in range(600)))
+    path = str(tmp_path / "x.log")
+    about = pack.inspect_log_file(spark, path)
+    assert about["lines"] == 600 and about["encoding"] == "UTF-8" and not about["gzip"]
+    d = pack.log_parse_diagnostics(spark, path)
+    assert d["format"] == "text" and d["ts_pct"] == 100 and d["levels"] == [("INFO", 600)] and d["compression"] > 100 and d["warnings"] == ["no rare events: state changes may be missing"]
+    text = pack.read_log_evidence(spark, path)
+    assert "TRENDS\nlatency GREW" in text and text.rstrip().endswith("latency=609ms")
+    wide = {"total_lines": 1, "signal_lines": 1, "templates": 1, "format": "text", "patterns": [{"cnt": 1, "is_new": True, "template": "x" * 4000}] * 18, "rare": [], "trends": [], "dims": [], "context": ["c" * 9000], "tail": ["t" * 9000]}
+    cut = pack.to_prompt(wide)
+    assert len(cut) <= pack.MOST and all(h in cut for h in ("PATTERNS", "RARE", "TRENDS", "DIMENSIONS", "CONTEXT", "TAIL"))
+    pack.write_metrics(spark, [d], str(tmp_path / "out"))
+    assert spark.read.json(str(tmp_path / "out")).first().lines == 600
+
+
 def test_fold_across_runs(spark):
     raw = ["x"] + ["  at f(y)"] * 9 + ["z", "  w"]
     rows = spark.createDataFrame([("s", i + 1, r) for i, r in enumerate(raw)], "source string, line_no long, raw string")
