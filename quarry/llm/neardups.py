@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import checkpoint_dir, split_words
 
 BANDS, ROWS, SHINGLE, LIMIT, CELL = 36, 6, 5, 0.8, 1 << 17
+#: A text takes room for so many shingles of a cell at least, which bounds a cell's members to 2,048.
+LEAST_ROOM = 64
 KNOWN = 1 << 20
 
 
@@ -92,6 +94,8 @@ def _sets(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Shingle sets of representatives; rows of their id with other words go, repeated rows go where they meet."""
     met = set()
     for f in frames:
+        if len(met) > KNOWN:  # rows met twice all the same go where they meet
+            met.clear()
         w = [split_words(t) for t in f.text]
         names = [xxhash.xxh128_hexdigest(b" ".join(x)) for x in w]
         keep = []
@@ -188,7 +192,7 @@ def candidates(reps: DataFrame) -> DataFrame:
 def links(docs: DataFrame, reps: DataFrame, limit: float = LIMIT) -> DataFrame:
     """rep, root, linked: per bounded task and linked representative, a member it is connected to and the rows linked to it."""
     held = reps.select("rep", "same", "n", "copies").join(candidates(reps), "rep").checkpoint()
-    cells = held.groupBy("grp").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("cells"))
+    cells = held.groupBy("grp").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_ROOM))) / CELL).cast("int").alias("cells"))
     held = held.join(cells, "grp").withColumn("cell", F.pmod(F.xxhash64("rep", "same"), F.col("cells")).cast("int")).drop("n")
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").filter("rep is not null and text is not null")
     sets = texts.join(held, "rep").select("rep", "same", "copies", "grp", "cells", "cell", "text").mapInPandas(_sets, "rep long, same string, copies long, grp long, cells int, cell int, shingles array<long>")

@@ -121,6 +121,31 @@ def test_near_duplicates(docs, rows):
     assert as_sets(neardups.keep_one(docs), "doc_id") == sorted({(c,) for _, c, _ in want})
 
 
+def test_near_duplicates_of_a_larger_table(spark):
+    """Recall and classes against all pairs of sf0.01."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(r.doc_id, words(r.text or "")) for r in table.collect()]
+    names, sets = {}, []
+    for _, w in texts:
+        sets.append(frozenset(names.setdefault(tuple(w[j : j + 5]), len(names)) for j in range(max(1, len(w) - 4))) if w else frozenset())
+    links = defaultdict(set)
+    order = sorted((i for i in range(len(sets)) if sets[i]), key=lambda i: len(sets[i]))
+    for n, i in enumerate(order):
+        for j in order[n + 1 :]:
+            if len(sets[i]) < 0.8 * len(sets[j]):
+                break
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                links[i].add(j), links[j].add(i)
+    got = {r.doc_id: r for r in neardups.classes(table).collect()}
+    pairs = sum(map(len, links.values())) // 2
+    found = sum(r.n_links for r in got.values()) // 2
+    together = sum(got[texts[i][0]].class_id == got[texts[j][0]].class_id for i in links for j in links[i]) // 2
+    print(f"links at 0.8 or more: {pairs}, found {found}, in one class {together}")
+    assert pairs > 50 and found == pairs and together == pairs
+    assert all(got[d].n_links == len(links[i]) for i, (d, _) in enumerate(texts))
+
+
 def test_near_duplicates_over_many_cells(spark, monkeypatch):
     monkeypatch.setattr(neardups, "CELL", 300)
     base = [f"w{i}" for i in range(60)]
@@ -248,6 +273,8 @@ def test_copies_are_one_owner(spark):
     table = spark.createDataFrame([(i, t, f"s{i % 4}") for i, t in enumerate(texts)], "doc_id long, text string, source string")
     got = {r.doc_id: "forge" in r.spans for r in secrets.report(table).collect()}
     assert [got[i] for i in range(len(texts))] == [True] * 30 + [False] * 4
+    counts = {r.doc_id: (r.n_live, r.n_example, r.spans.count("forge")) for r in secrets.report(table).collect()}
+    assert set(counts.values()) == {(1, 0, 1), (0, 1, 0)} and counts[0] == (1, 0, 1) and counts[33] == (0, 1, 0)
 
 
 def base_personal(text):
@@ -488,6 +515,33 @@ def test_search(spark):
     assert search.top_k(table.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("spread", [0.0, 1.0])
+def test_search_over_cells(spark, monkeypatch, spread):
+    """Many cells and query cells, lengths alike or far apart, repeated ids, ties, copies."""
+    monkeypatch.setattr(search, "CELL", 150), monkeypatch.setattr(search, "QUERY_CELL", 5)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(0, 1, 6) * np.exp(spread * rng.normal())]) for i in range(1500)]
+    rows += [(2000 + i, rows[50][1]) for i in range(300)] + [(100, rows[7][1]), (100, rows[100][1]), (2600, [0.0] * 6), (2650, [-5.0] * 6), (2**53 + 2, rows[3][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    ints = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    found = defaultdict(list)
+    for q, a in ints:
+        if q % 50 == 0:
+            found[q] += [(-sum(x * y for x, y in zip(a, b)), c) for c, b in ints if c != q]
+    want = sorted((q, n, c, -s) for q, pairs in found.items() for n, (s, c) in enumerate(sorted(pairs)[:5], 1))
+    assert as_sets(search.top_k(table), "query_id", "rank", "vec_id", "score") == want
+
+
+def test_search_of_large_components(spark):
+    rows = [(0, [1e12, -3.5e13]), (1, [2e13, 1.0]), (2, [-1e12, 7e13]), (50, [1e300, 1.0]), (3, [1e-9, 5e12])]
+    got = search.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    ints = {i: [min(max(int(np.floor(256 * x)) if abs(x) < 1e300 else 2**63 - 1, -(2**63)), 2**63 - 1) for x in v] for i, v in rows}
+    clip = lambda x: min(max(x, -(2**63)), 2**63 - 1)
+    for q in (0, 50):
+        want = sorted((-clip(sum(a * b for a, b in zip(ints[q], ints[c]))), c) for c in ints if c != q)
+        assert [(r.vec_id, r.score) for r in got if r.query_id == q] == [(c, -s) for s, c in want]
+
+
 def test_cell_prunes_exactly():
     import pandas as pd
 
