@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import parse
+from quarry.functions import patterns as P
 from quarry.operators import evidence as E
 from quarry.operators import mining
 from quarry.sources import logs
@@ -192,5 +193,15 @@ case when gap >= 0 then 'before' when gap < 0 then 'after' end as relation from
     "health": PRE + "select count(*) as lines, 100.0::double * count(ts) / count(*) as ts_pct, 100.0::double * count(level) / count(*) as level_pct from p",
     "services": PRE + r", c as (select regexp_extract(raw, 'web-\d') as svc, count(*) as all_n, count(*) filter (where level = 'ERROR') as err_n, count(*) filter (where line_no > 900) as post_n, count(*) filter (where line_no > 900 and level = 'ERROR') as post_err_n from p group by 1) select *, round_even((err_n / (sum(err_n) over ())) / (all_n / (sum(all_n) over ())), 6) as lift from c",
     "median_latency": PRE + f"select num as median from {_SERIES} where key = 'latency' order by num limit 1 offset (select count(*) // 2 from {_SERIES} where key = 'latency')",
+    "decimated": PRE + f"select key, line_no, num from {_RANKED} where (rn - 1) % pow(2, ceil(greatest(log2(n / 100.0), 0)))::bigint = 0",
+    "sparkline": PRE + f""", k as (select key, rn - 1 as i, n, num from {_RANKED}), w as (select key, range as b, avg(num) as v from k, range(24) where i >= (range * n) // 24 and i < greatest((range * n) // 24 + 1, ((range + 1) * n) // 24) group by 1, 2),
+x as (select *, min(v) over (partition by key) as mn, max(v) over (partition by key) as mx from w) select key, b, case when mx > mn then floor((v - mn) / (mx - mn) * 7.999)::bigint else 0 end as level from x""",
+    "redacted": PRE + r""", voc as (select list(word) as vs from (select word from (select lower(unnest(regexp_extract_all(raw, '[A-Za-z][A-Za-z0-9_.\-]{2,}'))) as word from l) group by word having count(*) >= 20
+ union select unnest([WORDS]))),
+r as (select line_no, regexp_extract(raw, '^[\d\-/:T. +]{8,32}') as head, regexp_replace(raw, '^[\d\-/:T. +]{8,32}', '') as rest from l)
+select line_no, head || array_to_string(list_transform(list_zip(string_split_regex(rest, '[A-Za-z][A-Za-z0-9_.\-]{2,}'), regexp_extract_all(rest, '[A-Za-z][A-Za-z0-9_.\-]{2,}')),
+ lambda x: regexp_replace(x[1], '\d', '9', 'g') || case when x[2] is null then '' when list_contains(vs, lower(x[2])) then regexp_replace(x[2], '\d', '9', 'g') else '<w>' end), '') as redacted from r, voc""".replace(
+        "WORDS", ", ".join(f"'{w}'" for w in P.KEEP_WORDS)
+    ),
     "accuracy": PRE + r", q as (select template as predicted, regexp_extract(raw, 'op=([a-z]+)', 1) as truth from m), a as (select predicted, count(distinct truth) as k, min(truth) as truth, count(*) as n from q group by 1), b as (select truth, count(*) as n from q group by 1) select sum(case when k = 1 and a.n = b.n then a.n else 0 end)::double / sum(a.n)::double as accuracy from a join b using (truth)",
 }
