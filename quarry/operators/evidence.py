@@ -229,19 +229,30 @@ def vocabulary(lines: DataFrame, least: int = 20) -> DataFrame:
     return common.union(lines.sparkSession.createDataFrame([(x,) for x in P.KEEP_WORDS], "word string")).distinct()
 
 
+#: Up to so many words go to every task.
+MOST_WORDS = 20_000
+
+
 def redact(lines: DataFrame, least: int = 20) -> DataFrame:
-    """Structure-preserving redaction: raw becomes redacted; a leading time stays; rare words are found by an anti join, not a driver-side set."""
+    """Structure-preserving redaction: raw becomes redacted; a leading time stays. Words are looked up where they stand while the vocabulary is small, beyond that by an anti join."""
     head = F.regexp_extract("raw", P.WIDE + P.TIME_HEAD, 0)
     clean = lines.withColumn("head", head).withColumn("clean", parse.placeholders(F.substring("raw", F.length("head") + 1, F.length("raw"))))
     piece = P.PLACEHOLDER + "|" + P.WORD  # placeholders first, so that no word is looked for in them
+    digits = lambda x: F.regexp_replace(x, P.WIDE + r"\d", "9")
+
+    def rewritten(is_rare) -> Column:
+        shown = lambda x: F.when(x.startswith("<"), x).when(is_rare(x), F.lit("<w>")).otherwise(digits(x))
+        return F.concat("head", parse.rewritten(F.col("clean"), piece, shown, digits))
+
+    words = vocabulary(lines, least)
+    known = [r.word for r in words.limit(MOST_WORDS + 1).collect()]
+    if len(known) <= MOST_WORDS:
+        return clean.withColumn("redacted", rewritten(lambda x: ~F.lower(x).isin(*known))).drop("head", "clean")
     found = F.filter(F.regexp_extract_all("clean", F.lit(piece), F.lit(0)), lambda x: ~x.startswith("<"))
     w = clean.select("source", "line_no", F.explode(F.array_distinct(found)).alias("w")).withColumn("word", F.lower("w"))
-    unknown = w.join(vocabulary(lines, least), "word", "left_anti").groupBy("source", "line_no").agg(F.collect_set("w").alias("rare"))
-    digits = lambda x: F.regexp_replace(x, P.WIDE + r"\d", "9")
+    unknown = w.join(words, "word", "left_anti").groupBy("source", "line_no").agg(F.collect_set("w").alias("rare"))
     rare = F.coalesce("rare", F.array().cast("array<string>"))
-    shown = lambda x: F.when(x.startswith("<"), x).when(F.array_contains(rare, x), F.lit("<w>")).otherwise(digits(x))
-    safe = parse.rewritten(F.col("clean"), piece, shown, digits)
-    return clean.join(unknown, ["source", "line_no"], "left").withColumn("redacted", F.concat("head", safe)).drop("head", "clean", "rare")
+    return clean.join(unknown, ["source", "line_no"], "left").withColumn("redacted", rewritten(lambda x: F.array_contains(rare, x))).drop("head", "clean", "rare")
 
 
 def health(lines: DataFrame, k: int = 6) -> DataFrame:

@@ -35,9 +35,14 @@ s as (select *, regexp_matches(lower(sample), '\\b(error|warn|timeout|exceeded|f
 """
 
 
+def table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, dealt to all cores: the table is one small file, and what is done to its lines is work."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").repartition(spark.sparkContext.defaultParallelism)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, line_no, raw of two interleaved sources."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("event_id + 1 as line_no", f"{SPARK_LINE} as raw", "case when user_id % 2 = 0 then 'a.log' else 'b.log' end as source")
+    return table(spark, sf_dir).selectExpr("event_id + 1 as line_no", f"{SPARK_LINE} as raw", "case when user_id % 2 = 0 then 'a.log' else 'b.log' end as source")
 
 
 def numbered(spark: SparkSession, sf_dir: str) -> DataFrame:

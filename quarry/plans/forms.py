@@ -11,11 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import parse
 from quarry.operators import evidence as E
-from quarry.plans.evidence import LEVEL, PRE, SPARK_LINE, events, lines, numbered
-
-
-def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+from quarry.plans.evidence import LEVEL, PRE, SPARK_LINE, events, lines, numbered, table
 
 
 def _numbered(rows: DataFrame) -> DataFrame:
@@ -25,12 +21,12 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def _json(spark, sf_dir):
     rendered = f"to_json(named_struct('@timestamp', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'Level', lower({LEVEL}), 'event', event_type, 'time', 'x', 'message', concat('m ', event_type), 'ctx', named_struct('user', user_id, 'deep', named_struct('shard', user_id % 5, 'ok', user_id % 2 = 0)), 'list', array(1, 2)))"
-    return _numbered(_table(spark, sf_dir).selectExpr("event_id", f"{rendered} as raw"))
+    return _numbered(table(spark, sf_dir).selectExpr("event_id", f"{rendered} as raw"))
 
 
 def _logfmt(spark, sf_dir):
     rendered = f"concat('ts=', date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), ' level=', lower({LEVEL}), ' msg=\"', event_type, ' done\" user=', user_id, ' user=', user_id + 1, ' empty=\"\" shard=', user_id % 5)"
-    return _numbered(_table(spark, sf_dir).selectExpr("event_id", f"{rendered} as raw"))
+    return _numbered(table(spark, sf_dir).selectExpr("event_id", f"{rendered} as raw"))
 
 
 def json_events(spark, sf_dir):
@@ -51,7 +47,7 @@ def _wrapped(spark, sf_dir, docker: bool) -> DataFrame:
         raw = f"to_json(named_struct('log', concat({SPARK_LINE}, '\\n'), 'stream', if(user_id % 2 = 0, 'stdout', 'stderr'), 'time', if(event_id % 3 = 0, 'none', concat({stamp}, '.123456789Z'))))"
     else:
         raw = f"concat(if(event_id % 3 = 0, 'none', concat({stamp}, '.123456789+02:00')), if(user_id % 2 = 0, ' stdout F ', ' stderr P '), {SPARK_LINE})"
-    return _numbered(_table(spark, sf_dir).selectExpr("event_id", f"{raw} as raw"))
+    return _numbered(table(spark, sf_dir).selectExpr("event_id", f"{raw} as raw"))
 
 
 def docker_events(spark, sf_dir):
@@ -73,7 +69,7 @@ FORMATS = {
 
 def time_kinds(spark, sf_dir):
     """The eleven forms in turn; kinds without a year take the year 2000."""
-    rows = _table(spark, sf_dir).withColumn("nth", F.col("event_id") % 11)
+    rows = table(spark, sf_dir).withColumn("nth", F.col("event_id") % 11)
     text = F.coalesce(*[F.when(F.col("nth") == i, F.date_format("ts", f)) for i, f in enumerate(FORMATS.values())], F.unix_timestamp(F.col("ts").cast("timestamp")).cast("string"))
     lead = F.when(F.col("event_id") % 2 == 0, F.lit("")).otherwise(F.lit("- x "))
     found = rows.select((F.col("event_id") + 1).alias("line_no"), parse.time_text(F.concat(lead, text, F.lit(" INFO x"))).alias("found"))
@@ -87,7 +83,7 @@ def sniffed(spark, sf_dir):
 
 
 def _folded(spark, sf_dir) -> DataFrame:
-    rows = _table(spark, sf_dir).selectExpr("event_id", f"if((event_id + 1) % 5 in (0, 4), concat('  at frame ', event_id), {SPARK_LINE}) as raw")
+    rows = table(spark, sf_dir).selectExpr("event_id", f"if((event_id + 1) % 5 in (0, 4), concat('  at frame ', event_id), {SPARK_LINE}) as raw")
     return E.fold(_numbered(rows).drop("head_no"))
 
 
@@ -129,7 +125,7 @@ def slice_between(spark, sf_dir):
 
 def normalised(spark, sf_dir):
     """P11."""
-    rows = _table(spark, sf_dir).selectExpr("event_id + 1 as line_no", "concat(' id ', if(event_id % 2 = 0, concat(substring(md5(cast(event_id as string)), 1, 8), '-', 'aaaa-bbbb-cccc-', substring(md5(cast(event_id as string)), 1, 12)), 'a-b-c'), ' took ', user_id, 'ms ') as raw")
+    rows = table(spark, sf_dir).selectExpr("event_id + 1 as line_no", "concat(' id ', if(event_id % 2 = 0, concat(substring(md5(cast(event_id as string)), 1, 8), '-', 'aaaa-bbbb-cccc-', substring(md5(cast(event_id as string)), 1, 12)), 'a-b-c'), ' took ', user_id, 'ms ') as raw")
     return rows.groupBy(parse.normalised(F.col("raw")).alias("line")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -165,7 +161,7 @@ def baseline_hits(spark, sf_dir):
 
 def case_sample(spark, sf_dir):
     """K9."""
-    return E.sampled_cases(_table(spark, sf_dir).selectExpr("concat('c', lpad(cast(user_id as string), 9, '0')) as case_id").distinct(), 3, 20)
+    return E.sampled_cases(table(spark, sf_dir).selectExpr("concat('c', lpad(cast(user_id as string), 9, '0')) as case_id").distinct(), 3, 20)
 
 
 def sweep(spark, sf_dir):

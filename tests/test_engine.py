@@ -219,7 +219,8 @@ def redact_line(line, vocab):
     return head + "".join(out)
 
 
-def test_redact_line_by_line(spark):
+@pytest.mark.parametrize("most", [20_000, 3])
+def test_redact_line_by_line(spark, monkeypatch, most):
     odd = [
         "2026-08-04 12:00:01.5 INFO known 42alice _alice --alice .alice alice9 7", "[2026-08-04T12:00:01] known", "known /home/alice/known.log and /var/known/ or /one, a//b/c",
         'known said "known known" and \'it was\' "ab" \'\'', "known url email b64 ip6 text <url> <b64> <secret>", "known fe80:0:0:1:a:b at 123e4567-e89b-12d3-a456-426614174000 0123456789abcdef01",
@@ -229,6 +230,7 @@ def test_redact_line_by_line(spark):
     counts = Counter(x.lower() for r in raw for x in re.findall(r"[A-Za-z][A-Za-z0-9_.\-]{2,}", r))
     vocab = {x for x, n in counts.items() if n >= 20} | set(patterns.KEEP_WORDS)
     rows = [("s", i, r) for i, r in enumerate(raw)]
+    monkeypatch.setattr(E, "MOST_WORDS", most)
     got = E.redact(spark.createDataFrame(rows, "source string, line_no long, raw string").repartition(3)).orderBy("line_no").collect()
     assert [r.redacted for r in got] == [redact_line(r, vocab) for r in raw]
     assert got[0].redacted == "2026-08-04 12:00:01.5 INFO known 99<w> _<w> --<w> .<w> <w> 9"
