@@ -108,9 +108,12 @@ def rare(tpl: DataFrame, k: int = 18) -> DataFrame:
     return few.withColumn("score", score).withColumn("relation", relation).orderBy(F.col("score").desc(), "first_off").limit(k).select("template", "cnt", "score", "relation")
 
 
-def pairs(ev: DataFrame, pattern: str, key: Column, fields: bool = True) -> DataFrame:
+def pairs(ev: DataFrame, pattern: str, fields: bool = True, number: str | None = None) -> DataFrame:
     """Fields and regex pairs of the line without its envelope together, as a bag: line_no, signal, key, value."""
-    texts = F.arrays_zip(F.regexp_extract_all("raw", F.lit(pattern), F.lit(1)).alias("key"), F.regexp_extract_all("raw", F.lit(pattern), F.lit(2)).alias("value"))
+    value = lambda x: F.substring(x, F.locate("=", x) + 1, F.length(x))
+    cut = (lambda x: F.regexp_extract(value(x), number, 0)) if number else value
+    # one match a pair; what is a key and what a value follows from its first "="
+    texts = F.transform(F.regexp_extract_all("raw", F.lit(pattern), F.lit(0)), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), cut(x).alias("value")))
     both = F.concat(F.transform(F.map_entries("fields"), lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))), texts) if fields else texts
     return ev.select("line_no", "signal", F.explode(both).alias("x")).select("line_no", "signal", F.col("x.key").alias("key"), F.col("x.value").alias("value"))
 
@@ -120,7 +123,7 @@ NUMBER = r"^-?\d+(\.\d+)?$"
 
 def series(ev: DataFrame) -> DataFrame:
     """key, line_no, num."""
-    out = pairs(ev, P.NUMBER_PAIR, F.col("key")).filter(F.col("value").rlike(NUMBER) & ~F.lower("key").isin(*P.SERIES_SKIP))
+    out = pairs(ev, P.NUMBER_PAIR, number=r"^\d+(?:\.\d+)?").filter(F.col("value").rlike(NUMBER) & ~F.lower("key").isin(*P.SERIES_SKIP))
     return out.select("key", "line_no", F.col("value").cast("double").alias("num"))
 
 
@@ -152,7 +155,7 @@ def decimated(points: DataFrame, most: int = 100) -> DataFrame:
 def dim_counts(ev: DataFrame) -> DataFrame:
     """(dim, value) -> all_n, err_n."""
     structured = ev.select("signal", F.explode("fields").alias("key", "value")).filter(~F.col("value").rlike(NUMBER) | F.lower("key").isin(*P.NUMERIC_DIMS)).withColumn("value", F.substring("value", 1, 40))
-    texts = pairs(ev, P.DIM_PAIR, F.col("key"), fields=False).filter(~F.lower("key").isin(*P.DIM_SKIP) & (~F.col("value").rlike(r"^\d+$") | F.lower("key").isin(*P.NUMERIC_DIMS))).select("signal", "key", "value")
+    texts = pairs(ev, P.DIM_PAIR, fields=False).filter(~F.lower("key").isin(*P.DIM_SKIP) & (~F.col("value").rlike(r"^\d+$") | F.lower("key").isin(*P.NUMERIC_DIMS))).select("signal", "key", "value")
     return structured.unionByName(texts).groupBy(F.col("key").alias("dim"), "value").agg(F.count(F.lit(1)).alias("all_n"), F.count_if("signal").alias("err_n"))
 
 
