@@ -86,3 +86,8 @@ def tidy(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(key, was)
+
+
+def spread(frame: DataFrame, tasks: int, *keys: str) -> DataFrame:
+    """Dealt by ``keys`` to more tasks than the session's setting where the input asks for more; Spark then needs no further shuffle by them."""
+    return frame.repartition(tasks, *keys) if tasks > int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions")) else frame

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint_dir, split_words, words
+from quarry.llm.common import checkpoint_dir, split_words, spread, words
 
 SEGMENT = 24 << 20
 #: Up to so many terms, of so many bytes, go to every task.
@@ -189,7 +189,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = 10, slop: int = 0, m
     anchors = F.when(F.size("win") < n, F.lit(1)).otherwise(F.least(F.lit(missing + 1), F.size("win")))
     asked = plans.select("name", "win", F.explode(F.slice("by_freq", F.lit(1), anchors)).alias("x")).select("name", "win", F.col("x.term").alias("term"))
     sent = asked.join(stored.filter("term is not null").select("term", "segment"), "term").select("segment", "name", "win").distinct()
-    found = stored.select("segment", "term", "places", "ids", "keys", "sizes").groupBy("segment").cogroup(sent.groupBy("segment")).applyInPandas(
+    tasks = stored.filter("term is null").count() // 4  # of four segments each
+    lists = spread(stored.select("segment", "term", "places", "ids", "keys", "sizes"), tasks, "segment")
+    found = lists.groupBy("segment").cogroup(spread(sent, tasks, "segment").groupBy("segment")).applyInPandas(
         _matched(n, slop, missing), "doc_id string, key string, n_words long, n_hit long, exact array<string>, near array<string>"
     )
     found.write.parquet(f"{folder}/found")

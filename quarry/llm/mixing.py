@@ -23,13 +23,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint_dir, tidy
+from quarry.llm.common import checkpoint_dir, spread, tidy
 
 SPACE = r"[\x20\x09-\x0D]+"
 NON_SPACE = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
 BLOCK_WORDS, SHARDS, ROUNDS = 256, 64, 32
 SEED = 17
+#: About 32 MB of text.
+BLOCKS_A_TASK = 20_000
 
 
 def targets(sizes: DataFrame, share: float = 1.5, ceiling: float = 2.0) -> DataFrame:
@@ -127,7 +129,7 @@ def _slots(plan: DataFrame, block_words: int, shards: int, seed: int) -> DataFra
     )
 
 
-def _packed(rows: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
+def _packed(rows: DataFrame, slots: DataFrame, block_words: int, n_blocks: int) -> DataFrame:
     """source, shard, slot, block, take, pieces: of each slot, the stretches of texts that fill it, in order.
 
     Words are sliced into blocks where the texts lie; blocks and slots meet in one grouping by
@@ -151,7 +153,7 @@ def _packed(rows: DataFrame, slots: DataFrame, block_words: int) -> DataFrame:
         slots.select("source", "block", none(part).alias("part"), F.struct("shard", "slot", "take").cast(to).alias("to"))
     )
     # a block has at most ``block_words`` pieces and, but for one, ``ceiling`` slots
-    met = both.groupBy("source", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.collect_list("to").alias("to"))
+    met = spread(both, n_blocks // BLOCKS_A_TASK, "source", "block").groupBy("source", "block").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.collect_list("to").alias("to"))
     full = met.select("source", "block", "parts", F.explode("to").alias("to")).select("source", "block", "parts", "to.*")
 
     def kept(x: Column) -> Column:
@@ -177,7 +179,8 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shards: int = SHARDS, s
         sums = stored(dealt.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")), "sums")
         plan = stored(_plan(sums.groupBy("source").agg(F.sum("bucket_size").alias("source_size")), block_words, seed, share, ceiling), "plan")
         rows = stored(_placed(dealt, sums), "rows")
-    return rows, plan, _packed(rows, _slots(plan, block_words, shards, seed), block_words)
+    n_blocks = plan.agg(F.sum("blocks")).first()[0] or 0
+    return rows, plan, _packed(rows, _slots(plan, block_words, shards, seed), block_words, n_blocks)
 
 
 def blocks(docs: DataFrame, **options) -> DataFrame:

@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import checkpoint_dir, remove_folder, tidy
+from quarry.llm.common import checkpoint_dir, remove_folder, spread, tidy
 
 LENGTH, ROUNDS = 50, (32, 50)
 CHUNK, BUCKET_BYTES, TABLE_BYTES = 4 << 20, 1 << 20, 64 << 20
@@ -346,7 +346,7 @@ def removed(docs: DataFrame, keep_text: bool = True, rounds: tuple[int, ...] = R
         for length in rounds:
             told = reduce(DataFrame.unionByName, replies)
             asked = by_chunk(texts).cogroup(by_chunk(told)).applyInPandas(_asks(plan, length), "chunk long, sub int, bucket long, data binary")
-            asked.groupBy("bucket").applyInPandas(_answers(plan, length), REPLY).write.parquet(f"{folder}/replies-{length}")
+            spread(asked, 2 ** plan.split[length] // 16, "bucket").groupBy("bucket").applyInPandas(_answers(plan, length), REPLY).write.parquet(f"{folder}/replies-{length}")
             replies.append(spark.read.parquet(f"{folder}/replies-{length}"))
         told = reduce(DataFrame.unionByName, replies)
         by_chunk(texts).cogroup(by_chunk(told)).applyInPandas(_removed(plan, keep_text), OUT).write.parquet(f"{folder}-result")
