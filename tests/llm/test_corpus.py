@@ -625,10 +625,10 @@ def test_pages_take_time_in_proportion(piece):
 def test_more_tasks_than_the_setting(spark, docs, monkeypatch):
     """Results don't depend on how many tasks the input is dealt to."""
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-    ways = (lambda: repeats.removed(docs, keep_text=False), lambda: decontamination.report(docs, bench), lambda: mixing.mixed(docs))
+    ways = (lambda: decontamination.report(docs, bench), lambda: mixing.mixed(docs))
     want = [sorted(map(str, f().collect())) for f in ways]
     more = lambda frame, tasks, *keys: frame.repartition(max(tasks, 13), *keys)
-    for module in (repeats, decontamination, mixing):
+    for module in (decontamination, mixing):
         monkeypatch.setattr(module, "spread", more)
     assert [sorted(map(str, f().collect())) for f in ways] == want
 
